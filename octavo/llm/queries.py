@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_tokens, token_counts, token_files
+from . import jaccard_join, packing, piece_tokens, quality_rules, token_counts, token_files, toxicity
 from .shared import parquet
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,11 +22,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(docs, public_tokenizers.path(WORDS)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
     return token_files.read_tokens(token_files.write_tokens(docs, public_tokenizers.path(WORDS), END_ID))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(parquet(spark, sf_dir, "documents")).drop("key")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(parquet(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
     return piece_tokens.encode_pieces(docs, public_tokenizers.path(PIECES), whole=False)
@@ -35,9 +47,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op7_token_files": op7_token_files,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: For the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+#: Characters besides space and \t to \r at which str.split() would split.
+_OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ASCII_OTHER = re.compile("[\x1c-\x1f]")
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -64,3 +70,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
 
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def split_words(text: str) -> list[str]:
+    """The runs of characters other than space and \\t to \\r."""
+    return _WORD.findall(text) if not text.isascii() and _OTHER_BLANK.search(text) or _ASCII_OTHER.search(text) else text.split()
