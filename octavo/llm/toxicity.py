@@ -2,7 +2,8 @@
 
 The models are logistic regressions over how often marked words occur and a few dense features of the
 text.  Marked words are those whose presence depends most on a category (chi-square) in a sample of
-labelled documents; the sample is bounded by ``SAMPLE_DOCS``.  In training, a later model gets the earlier
+labelled documents; the sample is bounded by ``SAMPLE_DOCS``; those found almost only with a category are
+also counted together, as a word may be too rare for a weight of its own.  In training, a later model gets the earlier
 categories' probabilities out of fold, so that it learns from errors of the size it will meet.
 
 Defined cases: a null or empty text has no words and gets what the models say of that; documents without
@@ -14,8 +15,8 @@ left out; with no usable label, or one class only, a category's probability is i
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +27,43 @@ from .shared import keep, rows_per_batch, texts
 
 #: Most labelled documents used to fit (about, by hash of the id), words marked per category, least documents of a word.
 SAMPLE_DOCS, MARKED, WORD_DOCS = 8000, 128, 5
-FOLDS, ROUNDS, RIDGE, THRESHOLD = 5, 300, 1e-3, 0.5
+FOLDS, ROUNDS, RIDGE, THRESHOLD = 5, 300, 1e-4, 0.5
+#: A marked word is telling for a category when so large a share of its documents have it, and so many times the usual share.
+TELLING, LIFT = 0.8, 3
 _LETTERS = re.compile(r"[^\W\d_]+")
+_CAPITALS = re.compile("[A-Z]{2,}")
 DENSE = 6
 
 
-def features(text: str | None, marked: dict[str, int]) -> np.ndarray:
-    """Marked words by min(count, 3) / 3, then the dense features."""
-    out = np.zeros(len(marked) + DENSE, np.float32)
+@dataclass
+class Marked:
+    """Word -> place of its feature, and per category the places of its telling words."""
+
+    words: dict[str, int]
+    telling: list[set[int]]
+
+    def width(self) -> int:
+        return len(self.words) + len(self.telling) + DENSE
+
+
+def features(text: str | None, marked: Marked) -> np.ndarray:
+    """Marked words by presence, distinct telling words of each category by min(n, 3) / 3, then the dense features."""
+    out = np.zeros(marked.width(), np.float32)
     if not text:
         return out
     words = _LETTERS.findall(text.lower())
-    for i, n in Counter(map(marked.get, words)).items():
-        if i is not None:
-            out[i] = min(n, 3) / 3
+    distinct = set(words)
+    found = {i for i in map(marked.words.get, distinct) if i is not None}
+    out[list(found)] = 1
+    for k, telling in enumerate(marked.telling):
+        out[len(marked.words) + k] = min(len(found & telling), 3) / 3
     n = len(words)
-    upper = sum(map(str.isupper, text)) if text.upper() == text else len(re.findall(r"[A-Z]{2,}", text)) * 3
-    out[len(marked) :] = (
+    out[-DENSE:] = (
         np.log1p(n) / 10,
-        min(upper / len(text), 1),
+        min(3 * len(_CAPITALS.findall(text)) / len(text), 1),
         sum(map(text.count, "#*$%&|<>")) / len(text),
         sum(map(len, words)) / max(n, 1) / 10,
-        len(set(words)) / max(n, 1),
+        len(distinct) / max(n, 1),
         n < 20,
     )
     return out
@@ -96,7 +112,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray
     return models
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, int], list[np.ndarray]]:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[Marked, list[np.ndarray]]:
     """The marked words and the models."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("int") for c in categories]).na.drop()
     known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
@@ -117,15 +133,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= WORD_DOCS)
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     counts = keep(counts, "words")
-    marked: dict[str, int] = {}
+    marked = Marked({}, [])
+    telling: list[set[str]] = []
     for c in categories:
         rows, pos = max(total["n"], 1), total[c] or 0
         a, n_word = F.col(c).cast("double"), F.col("n").cast("double")
         # chi-square of a two by two table: presence against category
         gap = a * (rows - n_word - pos + a) - (n_word - a) * (pos - a)
         chi = gap * gap / (n_word * (rows - n_word) + 1e-9)
-        for r in counts.orderBy(chi.desc(), "word").limit(MARKED).collect():
-            marked.setdefault(r["word"], len(marked))
+        top = counts.orderBy(chi.desc(), "word").limit(MARKED).collect()
+        telling.append({r["word"] for r in top if r[c] >= max(TELLING, LIFT * pos / rows) * r["n"]})
+        for r in top:
+            marked.words.setdefault(r["word"], len(marked.words))
+    marked.telling += [{marked.words[w] for w in ws} for ws in telling]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,12 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "x": pa.array(x, pa.binary())} | {c: b[c] for c in categories})
 
     got = sample.mapInArrow(vectors, f"doc_id long, x binary, {kinds}").toPandas().sort_values(["doc_id", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), len(marked) + DENSE)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), marked.width())
     fold = (got["doc_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
     return marked, fit_chain(x, got[categories].to_numpy(float), fold)
 
 
-def score(docs: DataFrame, marked: dict[str, int], models: list[np.ndarray], categories: list[str], id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+def score(docs: DataFrame, marked: Marked, models: list[np.ndarray], categories: list[str], id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """``doc_id``, ``p_<category>`` of each, and ``more`` columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
