@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, piece_tokens, quality_rules, token_counts, token_files, toxicity
+from . import jaccard_join, packing, piece_tokens, quality_rules, secret_scan, token_counts, token_files, toxicity
 from .shared import parquet
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(parquet(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
     return token_files.read_tokens(token_files.write_tokens(docs, public_tokenizers.path(WORDS), END_ID))
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
