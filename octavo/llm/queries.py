@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, piece_tokens, quality_rules, secret_scan, token_counts, token_files, toxicity
+from . import jaccard_join, packing, piece_tokens, quality_rules, secret_scan, token_counts, token_files, toxicity, vector_links
 from .shared import parquet
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(docs, public_tokenizers.path(WORDS)))
 
 
+def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(parquet(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
+    "op3_vector_links": op3_vector_links,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
