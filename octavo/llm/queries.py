@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, piece_tokens, quality_rules, secret_scan, token_counts, token_files, toxicity, vector_links
+from . import jaccard_join, license_scan, packing, piece_tokens, quality_rules, secret_scan, token_counts, token_files, toxicity, vector_links
 from .shared import parquet
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.near_vectors(parquet(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(license_scan.as_files(parquet(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
     "op3_vector_links": op3_vector_links,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
@@ -65,4 +70,4 @@ QUERIES = {
 }
 
 #: For the queries that SQL can express.
-ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": license_scan.SQL, "op8_quality_rules": quality_rules.SQL}
