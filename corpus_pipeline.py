@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from octavo.llm import packing
+from octavo.llm import jaccard_join, packing, quality_rules, secret_scan, toxicity
 from octavo.llm.queries import END_ID, WINDOW, WORDS
 from octavo.llm.shared import keep, parquet
 
@@ -18,13 +18,37 @@ from octavo.llm.shared import keep, parquet
 ORACLE_SQL = None
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The redacted documents, packed into sequences."""
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject."""
+    return quality_rules.keep_good(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without toxic documents; the chain learns from the labels of the documents at hand."""
+    return toxicity.keep_clean(docs, parquet(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets replaced."""
+    return secret_scan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path(WORDS), WINDOW, END_ID))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("packing", pack),
+    ("quality rules", good),
+    ("toxicity", clean),
+    ("n-gram Jaccard join", distinct),
+    ("secret scans", redacted),
+    ("packing", packed),
 ]
 
 
