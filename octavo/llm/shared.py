@@ -15,12 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Characters besides space and \t to \r at which str.split() would split.
 _OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_OTHER = re.compile("[\x1c-\x1f]")
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +50,19 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Keep ``df`` as a table bucketed and sorted by ``key`` in the warehouse, which driver and executors share: joins on ``key`` leave it in place."""
+    spark, name = df.sparkSession, f"octavo_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).sortBy(key).format("parquet").option("compression", "zstd").saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 @atexit.register
 def _clean() -> None:
+    for spark, name in _tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _made:
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm
@@ -57,7 +71,8 @@ def _clean() -> None:
 
 
 def rows_per_batch(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the Arrow batches that Python workers see; texts may be long."""
+    """Bounds the Arrow batches that Python workers see (texts may be long), and sees to it that they find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
