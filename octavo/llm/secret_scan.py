@@ -264,9 +264,12 @@ def show(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the numbers of each base kind, the digest of the base spans, all spans, and how many the field added."""
-    field = train(docs, id_col, text_col)
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
+    """Per document the numbers of each base kind, the digest of the base spans, all spans, and how many the field added.
+
+    The field learns from ``learn_from``, else from ``docs``.
+    """
+    field = train(docs if learn_from is None else learn_from, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,9 +295,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", learn_from: DataFrame | None = None) -> DataFrame:
     """``docs`` with every span replaced, and ``size_col``, if there, set to the new text's code points; one pass, nothing is joined."""
-    field = train(docs, id_col, text_col)
+    field = train(docs if learn_from is None else learn_from, id_col, text_col)
     columns = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
