@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .views import byte_values
+
 #: What code page 437 shows for the control codes 1 to 31.
 CONTROL_GLYPHS = "☺☻♥♦♣♠•◘○◙♂♀♪♫☼►◄↕‼¶§▬↨↑↓→←∟↔▲▼"
 #: Escapes by byte.
@@ -20,12 +24,6 @@ def code_page_437() -> str:
     return "\0" + CONTROL_GLYPHS + "".join(map(chr, range(32, 127))) + "⌂" + rest
 
 
-def byte_values(x: Column) -> Column:
-    """The bytes of a BINARY as an array of numbers, in one linear pass."""
-    chars = F.split(F.decode(x, "ISO-8859-1"), "")
-    return F.when(F.octet_length(x) > 0, F.transform(chars, lambda c: F.ascii(c))).when(x.isNotNull(), F.array().cast("array<int>"))
-
-
 def digits_of(base: int) -> int:
     """Places of the largest byte."""
     n, places = 255, 0
@@ -38,8 +36,21 @@ def _padded(text: Column, width: int, pad: str) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, pad))
 
 
+def _looked_up(b: Column, of: Callable[[int], str]) -> Column:
+    """A text per byte value, from a table that is built once per plan."""
+    return F.get(F.array(*[F.lit(of(k)) for k in range(256)]), b.cast("int"))
+
+
+def in_base(value: int, base: int) -> str:
+    out = ""
+    while value or not out:
+        value, digit_ = divmod(value, base)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[digit_] + out
+    return out
+
+
 def radix(b: Column, base: int, pad: str = "0") -> Column:
-    return _padded(F.lower(F.conv(b.cast("string"), 10, base)), digits_of(base), pad)
+    return _looked_up(b, lambda k: in_base(k, base).rjust(digits_of(base), pad))
 
 
 def is_printable(b: Column) -> Column:
@@ -48,15 +59,14 @@ def is_printable(b: Column) -> Column:
 
 def printable(b: Column, base: int = 16, pad: str = "0") -> Column:
     """Printable bytes as characters padded with spaces, others in the base."""
-    return F.when(is_printable(b), _padded(F.char(b), digits_of(base), " ")).otherwise(radix(b, base, pad))
+    width = digits_of(base)
+    return _looked_up(b, lambda k: chr(k).rjust(width) if 32 <= k <= 126 else in_base(k, base).rjust(width, pad))
 
 
 def escaped(b: Column, base: int = 16, pad: str = "0") -> Column:
     """Bytes that have an escape as that, others in the base."""
-    got = radix(b, base, pad)
-    for value, text in ESCAPES.items():
-        got = F.when(b == value, _padded(F.lit(text), digits_of(base), " ")).otherwise(got)
-    return got
+    width = digits_of(base)
+    return _looked_up(b, lambda k: ESCAPES[k].rjust(width) if k in ESCAPES else in_base(k, base).rjust(width, pad))
 
 
 def hex_text(x: Column) -> Column:
@@ -89,7 +99,7 @@ def latin_text(x: Column, mask_high_bit: bool = False) -> Column:
 
 
 def code_page_char(b: Column) -> Column:
-    return F.substring(F.lit(code_page_437()), (b + 1).cast("int"), F.lit(1))
+    return _looked_up(b, code_page_437().__getitem__)
 
 
 def digit(v: Column, alphabet: str = DIGITS) -> Column:

@@ -5,6 +5,8 @@ Positions are 0-based.  A view is a projection; views of views collapse in the o
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def bit_length(x: Column) -> Column:
     return F.octet_length(x).cast("long") * 8
 
 
+def byte_values(x: Column) -> Column:
+    """The bytes of a BINARY as an array of numbers, in one linear pass."""
+    chars = F.split(F.decode(x, "ISO-8859-1"), "")
+    return F.when(F.octet_length(x) > 0, F.transform(chars, lambda c: F.ascii(c))).when(x.isNotNull(), F.array().cast("array<int>"))
+
+
 def byte_slice(x: Column, start: C, length: C, base: C = 0) -> Column:
     """``length`` bytes from address ``start`` of a sequence whose first byte is at ``base``; what lies outside is left out."""
     at = _long(start) - _long(base)
@@ -91,7 +99,18 @@ def read_bit_array(x: Column, count: int, units: C, first_unit: C = 0, bit_offse
     """``units`` units of ``count`` bits, unit i at bit ``(first_unit + i) * count + bit_offset``."""
     n = _long(units)
     index = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
-    return F.transform(index, lambda i: read_bits(x, (_long(first_unit) + i) * count + _long(bit_offset), count))
+    width = (count + 14) // 8  # bytes that hold a unit wherever it begins
+
+    def unit(values: Column, i: Column) -> Column:
+        at = (_long(first_unit) + i) * count + _long(bit_offset)
+        byte = F.call_function("shiftright", at, F.lit(3)).cast("int")
+        parts = [F.coalesce(F.get(values, byte + k), F.lit(0)).cast("long") * (1 << 8 * (width - 1 - k)) for k in range(width)]
+        number = functools.reduce(lambda a, b: a + b, parts)
+        got = F.call_function("shiftright", number, (8 * width - count - F.pmod(at, F.lit(8))).cast("int")).bitwiseAND(F.lit((1 << count) - 1))
+        return F.when((at >= 0) & (at + count <= F.size(values) * 8), got)
+
+    # the bytes are taken apart once: the outer array binds them for all units
+    return F.transform(F.array(byte_values(x)), lambda values: F.transform(index, lambda i: unit(values, i)))[0]
 
 
 def get_bit(x: Column, n: C) -> Column:
