@@ -137,6 +137,28 @@ def parse_int(text: Column) -> Column:
     return F.when(text.rlike("^[+-]?[0-9]{1,60}$"), text.try_cast("decimal(38,0)"))
 
 
+def narrow(v: Column, bits: int) -> Column:
+    """The low-order bits of an integer as a signed one."""
+    full, half = F.lit(str(1 << bits)).cast("decimal(20,0)"), F.lit(str(1 << bits - 1)).cast("decimal(20,0)")
+    low = F.pmod(v.cast("decimal(38,0)"), full)
+    return F.when(low >= half, low - full).otherwise(low).cast("long")
+
+
+def list_at(items: Column, index: Column) -> Column:
+    """The item a list pointer leads to; null outside the list."""
+    return F.get(items, index.cast("int"))
+
+
+def list_resized(items: Column, size: int, fill: Column) -> Column:
+    """A list cut or filled up to a size."""
+    return F.slice(F.concat(items, F.array_repeat(fill, size)), 1, size)
+
+
+def list_assigned(items: Column, index: Column, value: Column) -> Column:
+    """A list with one item replaced."""
+    return F.transform(items, lambda v, k: F.when(k == index, value).otherwise(v))
+
+
 def byte_text(text: Column) -> Column:
     """One signed byte from text: decimal, 0x or # hex, leading-zero octal; null outside -128 to 127."""
     t = F.trim(text)

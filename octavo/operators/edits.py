@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import byte_text
 from ..functions.views import byte_slice, gather
+from ..sources.binary import framed_random
 
 MODS = "data_id, seq, op, offset, length, payload"
 
@@ -178,3 +180,14 @@ def chunked(base: DataFrame, size: int, data_id: str = "data_id", content: str =
     kind = base.schema[data_id].dataType.simpleString()
     rows = base.select(F.col(data_id).alias("data_id"), F.col(content).alias("content"))
     return rows.mapInPandas(cut, f"data_id {kind}, chunk_no long, chunk_start long, bytes binary")
+
+
+def command_edit(x: Column, pos: Column | int, text: Column) -> Column:
+    """One byte, given as text, written over position ``pos``; unchanged where the text is no byte."""
+    byte = byte_text(text)
+    return F.when(byte.isNotNull(), overwrite(x, pos, F.unhex(F.lpad(F.hex(F.pmod(byte, F.lit(256))), 2, "0")))).otherwise(x)
+
+
+def insert_block(x: Column, offset: Column | int, n: int = 64, seed: int = 0) -> Column:
+    """A framed random block of ``n`` bytes inserted."""
+    return insert(x, offset, F.lit(framed_random(n, seed)))

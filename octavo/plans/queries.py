@@ -539,9 +539,35 @@ def edit_log_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(whole)
 
 
+@query("""SELECT doc_id, (length(y) // 2)::BIGINT bytes, md5(unhex(y)) digest FROM (SELECT doc_id,
+CASE WHEN doc_id % 4 = 3 THEN a ELSE substr(a, 1, 2 * o) || ['4a', 'ff', '0f'][doc_id % 4 + 1] || substr(a, 2 * o + 3) END y
+FROM (SELECT doc_id, doc_id % 3 o, hex(encode(text)) a FROM documents))""")
+def edit_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, ("0x4A", "-1", "017", "300"))), (X("doc_id") % 4 + 1).cast("int"))
+    return _folded(documents(spark, sf_dir).select("doc_id", edits.command_edit(X("x"), X("doc_id") % 3, text).alias("x")))
+
+
 # --- typed values, references, layouts ---
 
 
+@query("""SELECT l_orderkey, l_linenumber, ((v + 2147483648) % 4294967296 - 2147483648)::BIGINT low32
+FROM (SELECT l_orderkey, l_linenumber, l_partkey::HUGEINT * l_suppkey * l_orderkey v FROM lineitem)""")
+def narrow_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = arithmetic.multiply(X("l_partkey") * X("l_suppkey"), X("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", codec.narrow(v, 32).alias("low32"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(h) // 8 > doc_id % 40 THEN ('0x' || nullif(substr(h, (doc_id % 40)::INT * 8 + 1, 8), ''))::BIGINT ELSE -1 END item FROM ({_HEX})")
+def list_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(codec.list_at(codec.list_items(X("x"), 4), X("doc_id") % 40), F.lit(-1).cast("long")).alias("item"))
+
+
+@query("SELECT o_orderkey, 'o_custkey=' || o_custkey || '(->c' || o_custkey || ')' described, 8::INT bytes FROM orders")
+def value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = formats.value_text(F.lit("o_custkey"), X("o_custkey").cast("string"), F.concat(F.lit("c"), X("o_custkey")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("described"), F.octet_length(codec.encode_int(X("o_custkey"), 8)).alias("bytes"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN octet_length(x) >= 2 THEN ('0x' || hex(x[2:2]) || hex(x[1:1]))::BIGINT END u16,
 CASE WHEN octet_length(x) >= 3 THEN ('0x' || hex(x[3:3]))::BIGINT END u8, CASE WHEN octet_length(x) >= 4 THEN ('0x' || hex(x[4:4]))::INT & 1 = 1 END flag,
 CASE WHEN octet_length(x) >= 12 THEN hex(x[5:12]) END str8 FROM ({_DOCS})""")

@@ -142,3 +142,15 @@ def test_chunks(spark):
     df = spark.createDataFrame([(1, bytearray(range(10))), (2, bytearray()), (3, None)], "data_id long, content binary")
     got = [(r["data_id"], r["chunk_no"], r["chunk_start"], bytes(r["bytes"])) for r in edits.chunked(df, 4).orderBy("chunk_no").collect()]
     assert got == [(1, 0, 0, bytes(range(4))), (1, 1, 4, bytes(range(4, 8))), (1, 2, 8, bytes([8, 9]))]
+
+
+def test_command_and_block(spark):
+    from octavo.functions import codec
+
+    x = F.col("x")
+    df = spark.createDataFrame([(bytearray(b"abc"),)], "x binary")
+    got = df.select(edits.command_edit(x, 1, F.lit("0x7a")), edits.command_edit(x, 3, F.lit("-1")), edits.command_edit(x, 0, F.lit("999")), edits.insert_block(x, 1, 8, 3)).first()
+    assert [bytes(v) for v in got[:3]] == [b"azc", b"abc\xff", b"abc"] and bytes(got[3])[:2] == b"a\x00" and bytes(got[3])[8:] == b"\xffbc"
+    items = F.array(F.lit(1), F.lit(2), F.lit(3))
+    got = df.select(codec.list_at(items, F.lit(2)), codec.list_at(items, F.lit(3)), codec.list_resized(items, 2, F.lit(0)), codec.list_resized(items, 5, F.lit(0)), codec.list_assigned(items, F.lit(1), F.lit(9)), codec.narrow(F.lit(2**31 + 5), 32)).first()
+    assert got[:] == (3, None, [1, 2], [1, 2, 3, 0, 0], [1, 9, 3], 5 - 2**31)
