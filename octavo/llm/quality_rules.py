@@ -20,10 +20,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, rows_per_batch, split_words, texts
+from .key_sets import without
+from .shared import keep, rows_per_batch, split_words
 
 #: Base rules: fewest words, window, and the share (per cent) of words in repeated windows.
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -93,9 +94,9 @@ def _signed(h: int | None) -> int | None:
     return h if h is None or h < 1 << 63 else h - (1 << 64)
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """The key under which a row and its verdict meet: rows that agree in it have the same verdict."""
-    return docs.withColumn("octavo_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(host_col).cast("string")))
+def _key(id_col: str, text_col: str, host_col: str) -> Column:
+    """Under this key a row and its verdict meet: rows that agree in it have the same verdict."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(host_col).cast("string"))
 
 
 def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -110,8 +111,9 @@ def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             yield pa.RecordBatch.from_pydict(cols | {"line_words": pa.array([list(x[5].values()) for x in got], longs)})
 
     rows_per_batch(docs.sparkSession)
-    host, key = F.col(host_col).cast("string").alias("host"), F.col("octavo_key").alias("key")
-    return texts(with_key(docs, id_col, text_col, host_col), id_col, text_col, host_col, "octavo_key").select("doc_id", "text", host, key).mapInArrow(read, FACTS)
+    doc_id, text, host = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(host_col).cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), host.alias("host"), _key(id_col, text_col, host_col).alias("key"))
+    return rows.mapInArrow(read, FACTS)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -141,8 +143,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    bad = quality(docs, id_col, text_col, host_col).where(~F.col("kept")).select(F.col("key").alias("octavo_key"))
-    return with_key(docs, id_col, text_col, host_col).join(bad, "octavo_key", "left_anti").drop("octavo_key")
+    bad = quality(docs, id_col, text_col, host_col).where(~F.col("kept"))
+    return without(docs, _key(id_col, text_col, host_col), bad)
 
 
 #: The same in DuckDB.
