@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keep, rows_per_batch, split_words, texts
+from .key_sets import key_bitmap, may_be_in, without
+from .shared import bucketed, keep, rows_per_batch, split_words, texts
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text per column block, n-grams and documents a task gathers before it hands blocks on.
 BLOCK_BYTES, GATHER, GATHER_DOCS = 24 << 20, 2 << 20, 60_000
-BITMAP_BITS, SEGMENT, NEAREST_ROUNDS = 1024, 2048, 4
+BITMAP_BITS, SEGMENT, NEAREST_ROUNDS = 1024, 2048, 3
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ class _Gather:
         order = np.argsort(block, kind="stable")
         h, place = h[order].astype(self.hash_type), place[order]
         found, first = np.unique(block[order], return_index=True)
-        ends = [*first[1:].tolist(), len(h)]
+        ends = [*first[1:].tolist(), len(h)][: len(found)]
         rows = [(int(b), gather, place[i:j].tobytes(), h[i:j].tobytes(), None) for b, i, j in zip(found, first.tolist(), ends, strict=True)]
         rows.append((self.no % self.blocks, gather, None, None, np.array(self.meta, np.int64).tobytes()))
         self.no += 1
@@ -206,25 +207,33 @@ def facts(docs: DataFrame, blocks: int, n: int, limit: Limit, id_col: str = "doc
 
 
 def candidate_sets(docs: DataFrame, keys: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """``node``, ``n``, ``hashes`` and parity ``bits`` of every distinct set among the texts with these keys."""
+    """``node``, ``n``, ``hashes`` and parity ``bits`` of the sets of the texts with these keys, several times if texts repeat.
+
+    A bitmap of the keys, of bounded size, lets other texts go before anything is moved; the few that it mistakes only
+    add sets that link with nothing.  If there are too many keys for it, they are joined as well.
+    """
+    bitmap, telling = key_bitmap(keys)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        marks, done = np.frombuffer(sent.value, np.uint8), set()
         for b in batches:
             out = []
-            for key, text in zip(b["key"].to_pylist(), b["text"], strict=True):
-                if key != last:
-                    s = ngram_set(text.as_py(), n)
+            key = b["key"].to_numpy()
+            for k in np.flatnonzero(may_be_in(marks, key)).tolist():
+                if key[k] in done:
+                    continue
+                done.add(key[k])
+                if len(s := ngram_set(b["text"][k].as_py(), n)):
                     parity = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS).astype(np.uint8) & 1
                     out.append((_node(s), len(s), s.tobytes(), np.packbits(parity).tobytes()))
-                last = key
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["node", "n", "hashes", "bits"])
 
     rows = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(keys, "key", "left_semi").mapInArrow(read, "node long, n int, hashes binary, bits binary")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "hashes", "bits")])
+    rows = rows if telling else rows.join(keys, "key", "left_semi")
+    return rows.mapInArrow(read, "node long, n int, hashes binary, bits binary")
 
 
 def rare_columns(sets: DataFrame, blocks: int, limit: Limit) -> DataFrame:
@@ -255,8 +264,19 @@ def rare_columns(sets: DataFrame, blocks: int, limit: Limit) -> DataFrame:
     return counted.groupBy("gather").applyInArrow(choose, "h long, node long, n int")
 
 
+def by_node(sets: DataFrame, parts: int) -> DataFrame:
+    """Each set once, as a table bucketed by node: comparing pairs then moves one set of each pair, and the table itself never."""
+    spark = sets.sparkSession
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    once = sets.repartition(parts, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "hashes", "bits")])
+    return bucketed(once, "node", parts)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets, compared whole, reach the limit."""
+    """The pairs ``a``, ``b`` whose sets, compared whole, reach the limit.
+
+    ``b`` is joined first: it may be in very many pairs, which are still short then.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,7 +287,22 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
+
+
+def near_enough(pairs: DataFrame, nodes: DataFrame, limit: Limit) -> DataFrame:
+    """The pairs that the bound on the symmetric difference leaves; nothing but bitmaps is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
+                na, nb = (b[c].to_numpy().astype(np.int64) for c in ("na", "nb"))
+                ok = np.bitwise_count(x ^ y).sum(axis=1) <= limit.most_apart(na, nb)
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def _near_pairs(limit: Limit, all_pairs: bool):
@@ -314,17 +349,22 @@ def _near_pairs(limit: Limit, all_pairs: bool):
     return run
 
 
+def open_columns(columns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The columns whose sets are not all connected yet, with how many segments each is cut into.  What is closed stays closed."""
+    with_root = columns.select("h", "node", "n").join(nodes.select("node", "root"), "node")
+    size = F.count(F.lit(1))
+    found = with_root.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(size / SEGMENT).cast("int").alias("segments")).where("r0 <> r1")
+    return keep(columns.select("h", "node", "n").join(keep(found.select("h", "segments"), "open"), "h"), "columns")
+
+
 def near_pairs(columns: DataFrame, nodes: DataFrame, limit: Limit, all_pairs: bool) -> DataFrame:
-    """Pairs worth comparing among sets not yet connected; ``nodes``: node, root, bits."""
-    with_root = columns.join(nodes.select("node", "root"), "node")
-    open_ = with_root.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1")
-    open_ = keep(open_.select("h", F.ceil(F.col("m") / SEGMENT).cast("int").alias("segments")), "open_columns")
-    lists = columns.join(open_, "h").join(nodes, "node")
+    """Pairs worth comparing among sets not yet connected, of ``open_columns``; ``nodes``: node, root, bits."""
+    lists = columns.join(nodes, "node")
     lists = lists.withColumn("segment", F.pmod(F.xxhash64("node"), F.col("segments")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("other")
     lists = lists.select("h", "segment", "node", "n", "root", "bits", other)
     lists = lists.select("h", F.least("segment", "other").alias("low"), F.greatest("segment", "other").alias("high"), "segment", "node", "n", "root", "bits")
-    groups = max(64, open_.count() // 500)
+    groups = max(64, columns.count() // 4000)
     grouped = lists.groupBy(F.pmod(F.xxhash64("h", "low", "high"), F.lit(groups)).alias("group"))
     got = grouped.applyInArrow(_near_pairs(limit, all_pairs), "node long, d long, a long, b long")
     if not all_pairs:
@@ -349,15 +389,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: s
     blocks = max(32, -(-size // BLOCK_BYTES))
     known = keep(facts(docs, blocks, n, limit, id_col, text_col), "facts")
     keys = keep(known.where("candidate").select("key").distinct(), "keys")
-    sets = keep(candidate_sets(docs, keys, n, text_col), "sets")
+    sets = by_node(candidate_sets(docs, keys, n, text_col), blocks)
     columns = keep(rare_columns(sets, blocks, limit), "columns")
-    links = keep(verified(most_shared(columns, limit), sets, limit), "links")
+    first = keep(near_enough(most_shared(columns, limit), keep(sets.select("node", "n", "bits"), "bits"), limit), "first_pairs")
+    links = keep(verified(first, sets, limit), "links")
     last = False
     for k in range(NEAREST_ROUNDS + 1):
         roots = components(links)
         nodes = keep(sets.select("node", "bits").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits"), "nodes")
         last = last or k == NEAREST_ROUNDS
-        found = keep(verified(near_pairs(columns, nodes, limit, last), sets, limit), "links")
+        columns = open_columns(columns, nodes)
+        pairs = keep(near_pairs(columns, nodes, limit, last), "pairs")
+        found = keep(verified(pairs, sets, limit), "links")
         links = links.unionByName(found)
         if last:
             break
@@ -366,13 +409,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: s
     ids = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = keep(ids.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "ids")
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = keep(ids.select("node", "root").join(keep(named, "named"), "root").select("node", "component_id"), "by_node")
+    known_ids = keep(ids.select("node", "root").join(keep(named, "named"), "root").select("node", "component_id"), "known_ids")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return known.join(by_node, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return known.join(known_ids, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that give their component its id, with all their columns."""
     found = jaccard_components(docs, percent, n, id_col, text_col)
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("octavo_copy")).distinct()
-    return docs.join(copies, F.col(id_col).cast("long") == F.col("octavo_copy"), "left_anti")
+    copies = found.where("doc_id <> component_id").select(F.xxhash64("doc_id").alias("key"))
+    return without(docs, F.xxhash64(F.col(id_col).cast("long")), copies)
