@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import rows_per_batch, texts
+from .shared import keep, rows_per_batch, texts
 from .word_tokens import word_tokens
 
 #: Lengths in a block of the second level.
@@ -48,6 +48,8 @@ def length_histogram(lengths: DataFrame, limits: DataFrame | None = None) -> Dat
     if limits is not None:
         asked = limits.select(F.col("n_tokens").cast("long"), F.lit(0).cast("long").alias("n_docs"))
         counts = counts.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # one row per length: written, as both levels of sums need it and the texts should be encoded once
+    counts = keep(counts, "lengths")
     counts = counts.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("n"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n").alias("block_n"))
     later, every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
