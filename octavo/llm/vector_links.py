@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a random-projection tree forest.
 
-Each tree splits the unit vectors at the median of a random direction, again and again, until a node of
-the fitting sample is small; a vector close to a split goes to both sides.  The trees are fitted on a
+Each tree splits the unit vectors along a random direction, at its median if possible, again and again,
+until a node of the fitting sample is small or no split tried leaves its linked pairs together (a dense
+group); a vector close to a split goes to both sides.  The trees are fitted on a
 sample bounded by ``SAMPLE`` vectors, but every vector is sent down every tree, and every leaf is compared
 whole: vectors of a leaf meet in blocks, and a leaf of any size is compared exactly by pairs of blocks.
 
@@ -31,11 +32,23 @@ from .shared import keep, rows_per_batch
 SAMPLE, LEAF, LEVELS, TREES, SPILL = 20_000, 800, 12, 6, 0.08
 #: Vectors of a block; a leaf of more is compared by pairs of blocks.
 BLOCK = 4096
+#: Vectors of a node among which linked pairs are looked for, pairs tested (about), the share of them that a split may part, and the places (quantiles) tried in turn.
+SEEN, PAIRS, PARTED, PLACES = 1500, 20_000, 0.05, (0.5,) * 8 + (0.35, 0.65) * 4 + (0.2, 0.8) * 4
 Tree = list[tuple[np.ndarray, float, float] | None]
 
 
-def fit_tree(sample: np.ndarray, leaf: int, seed: int) -> Tree:
-    """Nodes of a binary heap: direction, median, margin; None where the split ends."""
+def _linked(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows whose cosine reaches the limit."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.nonzero(np.triu(x @ x.T >= least, 1))
+
+
+def fit_tree(sample: np.ndarray, leaf: int, seed: int, least: float = 0.9) -> Tree:
+    """Nodes of a binary heap: direction, middle, margin; None where the split ends.
+
+    A split may part ``PARTED`` of the linked pairs seen in its node at most: other directions and places are
+    tried, and a node that none of them splits so, such as a dense group, stays a leaf of whatever size.
+    """
     rng, tree, todo = np.random.default_rng(seed), [], {0: np.arange(len(sample))}
     for k in range(2 ** (LEVELS + 1) - 1):
         own = todo.pop(k, None)
@@ -44,15 +57,24 @@ def fit_tree(sample: np.ndarray, leaf: int, seed: int) -> Tree:
         tree.append(None)
         if own is None or len(own) <= leaf or k >= 2**LEVELS - 1:
             continue
-        way = rng.standard_normal(sample.shape[1])
-        at = sample[own] @ way
-        middle = float(np.median(at))
-        margin = float(np.quantile(np.abs(at - middle), 2 * SPILL))
-        low, high = own[at <= middle + margin], own[at >= middle - margin]
-        if max(len(low), len(high)) > 0.95 * len(own):
-            continue  # copies of one vector can't be split
-        tree[k] = way, middle, margin
-        todo[2 * k + 1], todo[2 * k + 2] = low, high
+        seen = own if len(own) <= SEEN else rng.choice(own, SEEN, replace=False)
+        one, two = _linked(sample[seen], least)
+        if len(one) > PAIRS:
+            some = rng.choice(len(one), PAIRS)
+            one, two = one[some], two[some]
+        for place in PLACES:
+            way = rng.standard_normal(sample.shape[1])
+            at, of = sample[own] @ way, sample[seen] @ way
+            middle = float(np.quantile(at, place))
+            margin = float(np.quantile(np.abs(at - middle), 2 * SPILL))
+            low, high = own[at <= middle + margin], own[at >= middle - margin]
+            if max(len(low), len(high)) > 0.95 * len(own):
+                continue  # copies of one vector can't be split
+            least_at, most_at = np.minimum(of[one], of[two]), np.maximum(of[one], of[two])
+            if ((least_at < middle - margin) & (most_at > middle + margin)).sum() <= PARTED * len(one):
+                tree[k] = way, middle, margin
+                todo[2 * k + 1], todo[2 * k + 2] = low, high
+                break
     return tree
 
 
@@ -152,7 +174,7 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     share = min(1.0, SAMPLE / max(n, 1))
     fitted = distinct.where(F.pmod(F.col("node"), F.lit(1 << 20)) < int(share * (1 << 20))).select("node", "unit").toPandas().sort_values("node")
     sample = np.frombuffer(b"".join(fitted["unit"]), np.float64).reshape(len(fitted), -1) if len(fitted) else np.zeros((0, max(width, 1)))
-    forest = spark.sparkContext.broadcast([fit_tree(sample, max(8, int(leaf * share)), seed) for seed in range(trees)])
+    forest = spark.sparkContext.broadcast([fit_tree(sample, max(8, int(leaf * share)), seed, least) for seed in range(trees)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

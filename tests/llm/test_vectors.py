@@ -71,3 +71,16 @@ def test_every_vector_reaches_a_leaf_of_every_tree():
     assert set(rows.tolist()) == set(range(500)) and len(set(leaves.tolist())) > 5 and len(rows) > 500
     same = np.ones((50, 8))
     assert vector_links.fit_tree(same, 10, 1) == [None]
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.97])
+def test_hot_group_of_near_vectors(spark, cosine):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((3000, 64))
+    centre = r.standard_normal(64)
+    x[:1000] = centre / np.linalg.norm(centre) + np.sqrt((1 - cosine) / cosine / 64) * r.standard_normal((1000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v["vec_id"]: v["n_links"] for v in vector_links.near_vectors(df, leaf=40).collect()}
+    assert all(got[k] <= n for k, n in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum()
