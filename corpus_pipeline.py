@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
+    """Without the documents that the quality rules reject, and without common lines in the others."""
     return quality_rules.keep_good(docs)
 
 

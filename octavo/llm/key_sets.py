@@ -43,14 +43,11 @@ def may_be_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def without(table: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose ``key`` (never null) is not among ``keys(key)``, with all their columns."""
-    keys = keep(keys.select("key").distinct(), "keys")
-    marked = table.withColumn("octavo_key", key)
-    gone = keys.withColumnRenamed("key", "octavo_key")
+def split_by(table: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of ``table`` whose column ``key`` (never null) can't be among ``keys(key)``, and the others; no first part if there are too many keys to tell."""
     bitmap, telling = key_bitmap(keys)
     if not telling:
-        return marked.join(gone, "octavo_key", "left_anti").select(*table.columns)
+        return None, table
     rows_per_batch(table.sparkSession)
     sent = table.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
@@ -58,9 +55,17 @@ def without(table: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(sent.value, np.uint8)
             for b in batches:
-                yield b.filter(pa.array(may_be_in(bits, b["octavo_key"].to_numpy()) == wanted))
+                yield b.filter(pa.array(may_be_in(bits, b[key].to_numpy()) == wanted))
+
+        return table.mapInArrow(run, table.schema)
 
-        return marked.mapInArrow(run, marked.schema)
+    return part(False), part(True)
 
-    rest = part(True).join(gone, "octavo_key", "left_anti").select(*marked.columns)
-    return part(False).unionByName(rest).select(*table.columns)
+
+def without(table: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``key`` (never null) is not among ``keys(key)``, with all their columns."""
+    keys = keep(keys.select("key").distinct(), "keys")
+    marked = table.withColumn("octavo_key", key)
+    same, maybe = split_by(marked, "octavo_key", keys)
+    rest = maybe.join(keys.withColumnRenamed("key", "octavo_key"), "octavo_key", "left_anti").select(*table.columns)
+    return rest if same is None else same.select(*table.columns).unionByName(rest)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .key_sets import without
+from .key_sets import split_by, without
 from .shared import keep, rows_per_batch, split_words
 
 #: Base rules: fewest words, window, and the share (per cent) of words in repeated windows.
@@ -116,8 +116,8 @@ def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return rows.mapInArrow(read, FACTS)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per document its statistics, ``removed_words`` (in common lines), ``base_failed``, ``kept`` and the key of its row."""
+def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+    """The facts, and ``key``, ``line``, ``line_words`` of the common lines of each row."""
     read = keep(facts(docs, id_col, text_col, host_col), "facts")
     lines = read.select("key", "host", F.explode(F.arrays_zip("line", "context", "line_words")).alias("x")).select("key", "host", "x.*")
     docs_of = read.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -127,7 +127,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     common = keep(limits.where(F.col("docs") >= F.lit(LINE_SHARE) * F.col("host_docs")).select(F.col("c.host").alias("at"), F.col("line").alias("common")), "common")
     hit = lines.join(common, F.col("host").eqNullSafe(F.col("at")) & (F.col("line") == F.col("common")))
     # a repeated row has the same lines under the same key, as often as it is repeated
-    removed = hit.groupBy("key", "line").agg(F.first("line_words").alias("w")).groupBy("key").agg(F.sum("w").alias("removed"))
+    return read, hit.groupBy("key", "line").agg(F.first("line_words").alias("w"))
+
+
+def _verdicts(read: DataFrame, hit: DataFrame) -> DataFrame:
+    removed = hit.groupBy("key").agg(F.sum("w").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < LEFT_WORDS) | (left < F.lit(LEFT_SHARE) * F.col("n_words")))
@@ -141,10 +145,51 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    bad = quality(docs, id_col, text_col, host_col).where(~F.col("kept"))
-    return without(docs, _key(id_col, text_col, host_col), bad)
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Per document its statistics, ``removed_words`` (in common lines), ``base_failed``, ``kept`` and the key of its row."""
+    return _verdicts(*_counted(docs, id_col, text_col, host_col))
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines whose (signed) hashes are given; blank lines and all others stay as they are."""
+    return "\n".join(x for x in text.split("\n") if not ((ws := split_words(x)) and _signed(line_hash(ws)) in gone))
+
+
+def _cleaned(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with their ``octavo_lines`` taken out of their texts."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
+        for b in batches:
+            texts = [without_lines(t, set(gone)) for t, gone in zip(b.column(at).to_pylist(), b["octavo_lines"].to_pylist(), strict=True)]
+            cols = list(b.columns)
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", size_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns: texts without their host's common lines, and ``size_col``, if there, set to the code points left."""
+    read, hit = _counted(docs, id_col, text_col, host_col)
+    hit = keep(hit, "hit")
+    verdicts = keep(_verdicts(read, hit).select("key", "kept", "removed_words"), "verdicts")
+    key = _key(id_col, text_col, host_col)
+    good = without(docs, key, verdicts.where(~F.col("kept")))
+    changed = verdicts.where(F.col("kept") & (F.col("removed_words") > 0)).select("key").distinct()
+    lines = keep(hit.join(changed, "key", "left_semi").groupBy("key").agg(F.collect_list("line").alias("octavo_lines")), "lines")
+    # rows that have no such line stay where they are
+    same, maybe = split_by(good.withColumn("octavo_key", key), "octavo_key", lines)
+    some = maybe.join(lines.withColumnRenamed("key", "octavo_key"), "octavo_key", "left")
+    bare = F.col("octavo_lines").isNull()
+    rows_per_batch(docs.sparkSession)
+    some = keep(some, "maybe_common")
+    done = _cleaned(some.where(~bare), text_col)
+    if size_col in docs.columns:
+        done = done.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+    out = some.where(bare).select(*docs.columns).unionByName(done.select(*docs.columns))
+    return out if same is None else same.select(*docs.columns).unionByName(out)
 
 
 #: The same in DuckDB.

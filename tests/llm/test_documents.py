@@ -68,6 +68,18 @@ def test_common_lines(spark, monkeypatch):
     assert quality_rules.quality(docs.limit(0)).count() == 0
 
 
+def test_common_lines_leave_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LINE_DOCS", 5)
+    r = random.Random(4)
+    own = [" ".join(f"u{r.random()}" for _ in range(25)) for _ in range(40)]
+    rows = [(k, f"Subscribe  to OUR letter now\n\n{own[k]}\nsubscribe to our letter NOW", "h") for k in range(30)]
+    rows += [(k, f"{own[k]}\nSubscribe to our letter now", "g" if k < 33 else None) for k in range(30, 36)]  # too few documents there
+    rows += [(36, own[36], "h"), rows[0]]
+    left = {(x["doc_id"], x["text"], x["n_chars"]) for x in quality_rules.keep_good(frame(spark, rows)).collect()}
+    want = {(k, f"\n{own[k]}", len(own[k]) + 1) for k in range(30)} | {(k, t, len(t)) for k, t, _ in rows[30:37]}
+    assert left == want
+
+
 # --- toxicity ---
 
 
