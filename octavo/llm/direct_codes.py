@@ -109,6 +109,29 @@ class TokenFile:
             open_, shift = goes_on if open_ is None else open_[goes_on], shift + width
         return out
 
+    def range(self, first: int, last: int) -> np.ndarray:
+        """The ids from place ``first`` up to ``last``: on each level the chunks of a range lie together, from the rank of its first place on."""
+        if not 0 <= first <= last <= self.n_tokens:
+            raise IndexError("no such tokens")
+        out, open_, shift = np.zeros(last - first, np.uint32), None, 0
+        for width, chunks, bitmap, ranks in self.levels:
+            part = chunks[first:last]
+            if open_ is None:
+                out |= part
+            else:
+                out[open_] |= part.astype(np.uint32) << np.uint32(shift)
+            block = first // BLOCK
+            # from the block's first bit on: those before the range add to the rank, those in it say what goes on
+            bits = np.unpackbits(bitmap[block * (BLOCK // 8) : (last + 7) >> 3], count=last - block * BLOCK, bitorder="little")
+            before = first - block * BLOCK
+            goes_on = np.flatnonzero(bits[before:])
+            if not len(goes_on):
+                break
+            open_, shift = goes_on if open_ is None else open_[goes_on], shift + width
+            first = int(ranks[block]) + int(np.count_nonzero(bits[:before]))
+            last = first + len(goes_on)
+        return out
+
     def document(self, k: int) -> np.ndarray:
         """The ids of the file's k-th document."""
-        return self.get(np.arange(int(self.starts[k]), int(self.starts[k + 1])))
+        return self.range(int(self.starts[k]), int(self.starts[k + 1]))

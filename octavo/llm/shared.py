@@ -27,9 +27,11 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one of our own, which is then set."""
+    """The cluster's shared folder; where none is set and all tasks run in this machine's one process, one of our own, which is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[(?!.*cluster)|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="octavo-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -71,9 +73,31 @@ def _clean() -> None:
 
 
 def rows_per_batch(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the Arrow batches that Python workers see (texts may be long), and sees to it that they find this package."""
+    """Bounds the Arrow batches that Python workers see (texts may be long), and sees to it that they find this package.
+
+    The session's setting is only ever lowered.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def hash_cutoff(hashes: DataFrame, k: int) -> int | None:
+    """Of the one column's distinct 64-bit hashes the k-th least, the greatest if there are fewer, None without any.
+
+    Whatever the table's size, only about ``2 k`` hashes are sorted: those below a threshold made from the row count in
+    integers, which is raised if copies leave too few.
+    """
+    h, n = hashes.columns[0], hashes.count()
+    share = 2 * k / max(n, 1)
+    while True:
+        most = min((1 << 63) - 1, -(1 << 63) + int(share * 2**64))
+        least = hashes.where(F.col(h) <= most).distinct().orderBy(h).limit(k)
+        found, last = least.agg(F.count(h), F.max(h)).first()
+        if found >= k or share >= 1:
+            return last
+        share *= 16
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:

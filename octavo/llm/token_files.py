@@ -1,8 +1,11 @@
 """Token-id output: documents' ids written to files of directly addressable codes, and read back.
 
-Rows are dealt out by ranges of document id (the only shuffle, of the texts themselves), sorted, encoded
-and written by the same task; a file holds whole documents in ascending order.  A file appears under its
-final name only when whole, and a task that runs again writes the same bytes to the same name.
+Rows are dealt out by ranges of document id and text (the only shuffle, of the texts themselves), sorted,
+encoded and written by the same task; a file holds whole documents in ascending order.  A file appears under
+its final name only when whole, and a task that runs again writes the same bytes to the same name.
+
+Files are read back document by document: rank directories lead to each one's chunks on every level.  Where
+a file begins among all ids is summed in two levels, files within their task and tasks among each other.
 
 Defined cases: a null or empty text has the end id alone; null document ids come first; repeated rows are
 written each time; an empty table gives no files; other columns are not read.
@@ -73,16 +76,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
             yield close()
 
     rows_per_batch(spark)
-    dealt = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges of the text's hash too, so that rows of one id can be dealt out
+    rows = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     schema = "first_id long, part int, file_no int, path string, n_docs long, n_tokens long, n_bytes long"
     return keep(dealt.mapInArrow(write, schema), "manifest").withColumn("folder", F.lit(folder))
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``."""
-    # one row per file
-    before = Window.orderBy("first_id", "part", "file_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("folder", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # tasks are in the order of ids: one row per task, then the files of one task
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_base"))
+    within = Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("folder", "path", "part", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("file_base"))
+    placed = files.join(parts, "part").select("folder", "path", (F.col("part_base") + F.col("file_base")).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +98,11 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 store, _ = open_store(folder)
                 with store.open_input_file(path) as f:
                     file = TokenFile(f.read_buffer())
-                ids, starts = memoryview(file.all().astype("<u4").tobytes()), file.starts.astype(np.int64)
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                starts = file.starts.astype(np.int64)
+                crc = [zlib.crc32(file.document(k).astype("<u4", copy=False)) for k in range(len(file.doc_ids))]
                 named = pa.array(file.doc_ids, mask=file.doc_ids == NULL_ID)
                 yield pa.RecordBatch.from_arrays([named, pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], schema=_READ)
 
-    n = max(1, min(manifest.count(), 4096))
+    n = manifest.count()
+    n = max(1, min(n, 4096), n // 16)
     return placed.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

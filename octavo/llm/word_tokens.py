@@ -1,9 +1,9 @@
 """Exact and fast use of a ``tokenizers`` file whose words can be encoded one by one.
 
-``WordTokens.encode`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` with the
-special tokens' strings taken as ordinary text.  Texts made only of plain characters are split into
-words here, each distinct word goes to the library's model once, and its ids are remembered; any other
-text goes through the library whole.
+``WordTokens.encode`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``, which gives an
+added token's string in the text that token's id.  Texts made only of plain characters and without such a
+string are split into words here, each distinct word goes to the library's model once, and its ids are
+remembered; any other text goes through the library whole.
 """
 
 from __future__ import annotations
@@ -50,15 +50,18 @@ class _Memory(dict):
 class WordTokens:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        #: Strings that the library takes out of a text before it splits it.
+        self.added = tuple(x["content"] for x in added)
         split, level = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
         self.simple = (
             (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZER
             and split.get("pattern") == {"Regex": _SPLIT}
             and (split.get("behavior"), split.get("invert")) == ("Removed", True)
             and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+            and not any(x.get("normalized") for x in added)
         )
         self.model = self.library.model
         as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -80,7 +83,7 @@ class WordTokens:
         """Ids as little-endian unsigned 32-bit integers; a null text has none."""
         if not text:
             return b""
-        if self.simple and _PLAIN.fullmatch(text):
+        if self.simple and _PLAIN.fullmatch(text) and not any(x in text for x in self.added):
             return b"".join(map(self.memory.__getitem__, text.lower().split()))
         return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
 

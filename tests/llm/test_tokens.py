@@ -16,7 +16,7 @@ from octavo.llm.word_tokens import word_tokens
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, part string, ids string"
-ODD = ["", None, "it's 'RE ÀÉ×÷ don't<|endoftext|> a_b 3.5\t\n x", "ß ŉ İ ſt", "日本 é́", "Ω ς ΣΑΣ", "a\x0bb\x1cc\x85d", "  ", "word " * 3000, "x" * 5000, "a\x00b 🙂"]
+ODD = ["", None, "it's 'RE ÀÉ×÷ don't<|endoftext|> a_b 3.5\t\n x", "ß ŉ İ ſt", "日本 é́", "Ω ς ΣΑΣ", "a\x0bb\x1cc\x85d", "  ", "word " * 3000, "x" * 5000, "a\x00b 🙂", "a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|> <|endoftext"]
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,6 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def expected(docs):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     return [(r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()]
 
 
@@ -96,7 +95,9 @@ def test_direct_codes(seed):
     assert len(file) == n and file.all().tolist() == ids.tolist()
     places = r.integers(0, n, 500) if n else np.zeros(0, int)
     assert file.get(places).tolist() == ids[places].tolist()
-    assert file.document(1).tolist() == ids[n // 3 :].tolist()
+    assert file.document(0).tolist() == ids[: n // 3].tolist() and file.document(1).tolist() == ids[n // 3 :].tolist()
+    for a, b in zip(*np.sort(r.integers(0, n + 1, (2, 200)), axis=0)):
+        assert file.range(int(a), int(b)).tolist() == ids[a:b].tolist()
     with pytest.raises(IndexError):
         file.get([n])
 
@@ -120,6 +121,11 @@ def test_token_files(spark, docs, expected):
     assert empty.count() == 0 and token_files.read_tokens(empty).count() == 0
 
 
+def test_added_tokens_have_their_ids():
+    for text, ids in (("a <|endoftext|> b", [320, 49407, 321]), ("a<|ENDOFTEXT|>b", Tokenizer.from_file(WORDS).encode("a<|ENDOFTEXT|>b", add_special_tokens=False).ids)):
+        assert np.frombuffer(word_tokens(WORDS).encode(text), "<u4").tolist() == ids
+
+
 def test_small_files(docs, expected, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 500)
     got = token_files.read_tokens(token_files.write_tokens(docs, WORDS)).agg(F.sum("n_tokens"), F.count("*")).first()
