@@ -1,12 +1,12 @@
 """Quality rules: per-document statistics, and lines that too many documents of a host share.
 
 Lines are normalised (words joined by single spaces, A-Z in lower case) and hashed.  A line's count on a
-host is its number of distinct documents there, where documents that agree in the least hash of their
-other lines are one: copies and near copies of a text do not make its lines look like boilerplate.  Lines
-above the host's limit are removed; a document left with too little is rejected.
+host is its number of distinct documents there; rows of one host with the same whole text are one document,
+so exact copies do not make a text's lines look like boilerplate.  Lines above the host's limit are removed;
+a document left with too little is rejected.
 
-Each distinct line of a document travels once, as hashes; counting is pre-aggregated, so neither a common
-line nor a large host meets in one task.
+Each distinct line of a document travels once, as hashes; counting is pre-aggregated in two levels (host,
+line and text, then host and line), so neither a common line nor a large host meets in one task.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows get the same
 verdict; a null host is a host of its own; an empty table gives no rows; other columns are not read.
@@ -29,14 +29,14 @@ from .shared import keep, rows_per_batch, split_words
 #: Base rules: fewest words, window, and the share (per cent) of words in repeated windows.
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: A line is common on a host from this many distinct documents and this share of the host's documents on.
-LINE_DOCS, LINE_SHARE = 20, 0.03
+LINE_DOCS, LINE_SHARE = 20, 0.07
 #: A document is depleted when fewer words, or a smaller share of its words, are left.
 LEFT_WORDS, LEFT_SHARE = 20, 0.4
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\v\f\r"
 _MULTIPLIERS = np.random.default_rng(8).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-FACTS = "doc_id long, host string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, context array<long>, line_words array<long>"
+FACTS = "doc_id long, host string, key long, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<long>"
 
 
 def repeat_words(words: list[str], window: int = REPEAT_WINDOW) -> int:
@@ -82,16 +82,8 @@ def text_facts(text: str | None) -> tuple[int, int, int, int, int, dict[int, int
     return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeat_words(words), lines
 
 
-def contexts(hashes: list[int]) -> list[int | None]:
-    """For each line the least hash of the document's other lines, none if it has no other."""
-    if len(hashes) < 2:
-        return [None] * len(hashes)
-    least, second = sorted(hashes)[:2]
-    return [second if h == least else least for h in hashes]
-
-
-def _signed(h: int | None) -> int | None:
-    return h if h is None or h < 1 << 63 else h - (1 << 64)
+def _signed(h: int) -> int:
+    return h if h < 1 << 63 else h - (1 << 64)
 
 
 def _key(id_col: str, text_col: str, host_col: str) -> Column:
@@ -105,27 +97,35 @@ def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             got = [text_facts(x.as_py()) for x in b["text"]]
             lines = [list(x[5]) for x in got]
             longs = pa.list_(pa.int64())
-            cols = {"doc_id": b["doc_id"], "host": b["host"], "key": b["key"]}
+            cols = {c: b[c] for c in ("doc_id", "host", "key", "text_key")}
             cols |= {n: pa.array([x[k] for x in got], pa.int64()) for k, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-            cols |= {"line": pa.array([[_signed(h) for h in hs] for hs in lines], longs), "context": pa.array([[_signed(h) for h in contexts(hs)] for hs in lines], longs)}
+            cols |= {"line": pa.array([[_signed(h) for h in hs] for hs in lines], longs)}
             yield pa.RecordBatch.from_pydict(cols | {"line_words": pa.array([list(x[5].values()) for x in got], longs)})
 
     rows_per_batch(docs.sparkSession)
     doc_id, text, host = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(host_col).cast("string")
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), host.alias("host"), _key(id_col, text_col, host_col).alias("key"))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), host.alias("host"), _key(id_col, text_col, host_col).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
     return rows.mapInArrow(read, FACTS)
 
 
+def _lines(read: DataFrame) -> DataFrame:
+    return read.select("key", "host", "text_key", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("key", "host", "text_key", "x.*")
+
+
+def line_counts(read: DataFrame) -> DataFrame:
+    """Of ``facts``: per ``host`` and ``line`` (its hash) the distinct documents that have it, ``docs``, and the host's, ``host_docs``."""
+    once = _lines(read).groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
+    counted = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
+    docs_of = read.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    return counted.alias("c").join(docs_of.alias("d"), F.col("c.host").eqNullSafe(F.col("d.host"))).select("c.host", "line", "docs", "host_docs")
+
+
 def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
     """The facts, and ``key``, ``line``, ``line_words`` of the common lines of each row."""
     read = keep(facts(docs, id_col, text_col, host_col), "facts")
-    lines = read.select("key", "host", F.explode(F.arrays_zip("line", "context", "line_words")).alias("x")).select("key", "host", "x.*")
-    docs_of = read.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counted = lines.groupBy("host", "line", "context").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    counted = counted.where(F.col("docs") >= LINE_DOCS)
-    limits = counted.alias("c").join(docs_of.alias("d"), F.col("c.host").eqNullSafe(F.col("d.host")))
-    common = keep(limits.where(F.col("docs") >= F.lit(LINE_SHARE) * F.col("host_docs")).select(F.col("c.host").alias("at"), F.col("line").alias("common")), "common")
-    hit = lines.join(common, F.col("host").eqNullSafe(F.col("at")) & (F.col("line") == F.col("common")))
+    above = (F.col("docs") >= LINE_DOCS) & (F.col("docs") >= F.lit(LINE_SHARE) * F.col("host_docs"))
+    common = keep(line_counts(read).where(above).select(F.col("host").alias("at"), F.col("line").alias("common")), "common")
+    hit = _lines(read).join(common, F.col("host").eqNullSafe(F.col("at")) & (F.col("line") == F.col("common")))
     # a repeated row has the same lines under the same key, as often as it is repeated
     return read, hit.groupBy("key", "line").agg(F.first("line_words").alias("w"))
 
@@ -136,7 +136,7 @@ def _verdicts(read: DataFrame, hit: DataFrame) -> DataFrame:
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < LEFT_WORDS) | (left < F.lit(LEFT_SHARE) * F.col("n_words")))
     return (
-        read.drop("line", "context", "line_words")
+        read.drop("line", "line_words", "text_key")
         .join(removed, "key", "left")
         .withColumn("removed_words", F.coalesce("removed", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
@@ -201,14 +201,10 @@ l1 AS (SELECT doc_id, host, line, regexp_extract_all(line, '[^ \t\n\x0B\x0C\r]+'
 l AS (SELECT * FROM l1 WHERE len(ws) > 0),
 dup AS (SELECT doc_id, sum(c - 1) n FROM (SELECT doc_id, line, count(*) c FROM l GROUP BY ALL) GROUP BY 1),
 n AS (SELECT doc_id, host, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') line, sum(len(ws)) words FROM l GROUP BY ALL),
-h AS (SELECT doc_id, host, words, substr(md5(line), 1, 16) h FROM n),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) k FROM h),
-s AS (SELECT doc_id, min(h) FILTER (k = 1) a, min(h) FILTER (k = 2) b FROM r GROUP BY 1),
-x AS (SELECT r.*, CASE WHEN h = a THEN b ELSE a END c FROM r JOIN s USING (doc_id)),
-f AS (SELECT host, h, count(*) docs FROM (SELECT DISTINCT host, h, c FROM x) GROUP BY ALL HAVING count(*) >= 20),
-hd AS (SELECT host, count(*) n FROM d GROUP BY 1),
-g AS (SELECT f.host, f.h FROM f JOIN hd ON f.host IS NOT DISTINCT FROM hd.host WHERE docs >= 0.03::DOUBLE * n),
-rem AS (SELECT doc_id, sum(words) n FROM x JOIN g ON x.host IS NOT DISTINCT FROM g.host AND x.h = g.h GROUP BY 1),
+f AS (SELECT n.host, line, count(DISTINCT t) docs FROM n JOIN d USING (doc_id) GROUP BY ALL HAVING count(DISTINCT t) >= 20),
+hd AS (SELECT host, count(DISTINCT t) n FROM d GROUP BY 1),
+g AS (SELECT f.host, f.line FROM f JOIN hd ON f.host IS NOT DISTINCT FROM hd.host WHERE docs >= 0.07::DOUBLE * n),
+rem AS (SELECT doc_id, sum(words) n FROM n JOIN g ON n.host IS NOT DISTINCT FROM g.host AND n.line = g.line GROUP BY 1),
 p AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) i, ws FROM w WHERE len(ws) >= 9),
 q AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') g FROM p),
 q2 AS (SELECT doc_id, i FROM q QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),

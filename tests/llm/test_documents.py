@@ -68,6 +68,22 @@ def test_common_lines(spark, monkeypatch):
     assert quality_rules.quality(docs.limit(0)).count() == 0
 
 
+def test_every_line_counts_its_documents(spark):
+    r = random.Random(11)
+    shared = [f"shared line number {k} of this host" for k in range(10)]
+    rows = [(k, "\n".join([*shared, f"own {r.random()}"]), "h") for k in range(200)]
+    rows += [(k, rows[0][1], "h") for k in range(200, 250)]  # exact copies of a whole text count once
+    rows += [(k, shared[0], "one") for k in range(300, 330)] + [(k, f"{shared[0]}\n{k}", None) for k in range(400, 425)]
+    read = quality_rules.facts(frame(spark, rows))
+    got = {(x["host"], x["line"]): (x["docs"], x["host_docs"]) for x in quality_rules.line_counts(read).collect()}
+    line = lambda t: quality_rules._signed(quality_rules.line_hash(t.split()))
+    assert all(got["h", line(t)] == (200, 200) for t in shared)
+    assert got["one", line(shared[0])] == (1, 1) and got[None, line(shared[0])] == (25, 25)
+    assert sorted(got.values()) == sorted([(200, 200)] * 10 + [(1, 200)] * 200 + [(1, 1)] + [(25, 25)] + [(1, 25)] * 25)
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality(frame(spark, rows)).collect()}
+    assert not any(kept[k] for k in range(250))
+
+
 def test_common_lines_leave_the_texts(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "LINE_DOCS", 5)
     r = random.Random(4)
