@@ -246,25 +246,80 @@ def test_viterbi_against_all_paths():
         assert tuple(secret_scan.viterbi(scores, moves)) == max(itertools.product(range(3), repeat=n), key=path)
 
 
-def test_field_adds_what_patterns_miss(spark):
+def test_decoding_is_viterbi_over_the_whole_text():
+    """Leaving out stretches that can't gain changes nothing."""
+    r, rng = random.Random(6), np.random.default_rng(6)
+    for _ in range(20):
+        field = secret_scan.Field((rng.standard_normal((secret_scan.BUCKETS, 3)) * 0.7).astype(np.float32), secret_scan._legal() + rng.standard_normal((3, 3)), frozenset(["w1"]))
+        batch = [" ".join(r.choice(["w1", "x9y", "=", '"', "Ab-c", "é.", "key:"]) for _ in range(r.randrange(0, 60))) for _ in range(8)]
+        want = []
+        for text in batch:
+            scores, starts = field.scores([text])
+            tags = secret_scan.viterbi(scores[starts[0] : starts[0] + len(secret_scan.tokens(text))], field.moves) if text else []
+            want.append([(k, next((j for j in range(k + 1, len(tags)) if tags[j] != 2), len(tags)) - 1) for k, t in enumerate(tags) if t == 1])
+        assert field.tagged(batch) == want
+        assert [len(secret_scan.token_spans(t)) for t in batch] == [len(secret_scan.tokens(t)) for t in batch]
+
+
+@pytest.fixture(scope="module")
+def secrets(spark):
     r = random.Random(5)
     code = lambda n, of="0123456789abcdef": "".join(r.choice(of) for _ in range(n))
-    rows = [(k, f"some words here token = \"{code(40)}\" and call 555-{r.randrange(1000, 9999)} or {r.randrange(10**15, 10**16)} now", "s") for k in range(300)]
-    rows += [(900, f"some words here pass = \"{code(30, '0123456789ABCDEF')}\" and more", "s"), (901, None, "s"), (902, "", "s"), (903, "nothing 12345678 here", "s")]
-    docs = frame(spark, rows)
-    got = {x["doc_id"]: x for x in secret_scan.secret_spans(docs, learn_from=docs.where("doc_id < 300")).collect()}
-    assert all(got[k]["n_assign"] == 1 and got[k]["n_hex"] == 1 and got[k]["n_crf"] == 0 for k in range(300))
-    assert got[900]["n_crf"] == 1 and got[900]["spans"].startswith("crf:24:54") and got[903]["spans"] == ""
-    assert got[901]["spans"] == got[902]["spans"] == "" and got[901]["base_sha256"] == got[902]["base_sha256"]
-    clean = {x["doc_id"]: x for x in secret_scan.redact(docs, learn_from=docs.where("doc_id < 300")).collect()}
-    assert clean[901]["text"] is None and "[REDACTED]" in clean[900]["text"] and clean[903]["text"] == rows[-1][1]
-    assert all("[REDACTED]" in clean[k]["text"] and clean[k]["n_chars"] == len(clean[k]["text"]) and not secret_scan.base_spans(clean[k]["text"]) for k in range(300))
+    prose = lambda n: " ".join(words(r, n))
+    rows = [(k, f"{prose(40)} token = \"{code(40)}\" and call 555-{r.randrange(1000, 9999)} or {r.randrange(10**15, 10**16)} now {prose(30)}.", "s") for k in range(400)]
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    # forms that neither the patterns nor the taught phrases have
+    unseen = [f"pwd = \"{code(10, letters + '23456789')}\"", f"Authorization: Bearer {code(30, letters)}", "pwd: Correct-Horse-Battery-Staple", f"ghp_{code(36, letters + '0123456789')}", f"credentials = '{code(9, letters)}+{code(8)}=='"]
+    rows += [(1000 + 10 * k + j, f"{prose(20)} {x} {prose(20)}", "s") for k in range(10) for j, x in enumerate(unseen)]
+    rows += [(900, None, "s"), (901, "", "s"), (902, "nothing 12345678 here", "s"), (903, f"{prose(12)} on 2024-05-11 at 10:22:33", "s")]
+    return rows, frame(spark, rows)
+
+
+def test_field_adds_what_patterns_miss(secrets):
+    rows, docs = secrets
+    learn = docs.where("doc_id < 400")
+    got = {x["doc_id"]: x for x in secret_scan.secret_spans(docs, learn_from=learn).collect()}
+    assert all(got[k]["n_assign"] == 1 and got[k]["n_hex"] == 1 for k in range(400)) and sum(got[k]["n_crf"] > 0 for k in range(400)) <= 8
+    held = [i for i in got if i >= 1000]
+    assert sum(got[i]["n_crf"] > 0 for i in held) >= 0.9 * len(held)
+    assert got[902]["spans"] == got[903]["spans"] == got[900]["spans"] == got[901]["spans"] == "" and got[900]["base_sha256"] == got[901]["base_sha256"]
+    clean = {x["doc_id"]: x for x in secret_scan.redact(docs, learn_from=learn).collect()}
+    assert clean[900]["text"] is None and clean[902]["text"] == "nothing 12345678 here"
+    assert all("[REDACTED]" in clean[k]["text"] and clean[k]["n_chars"] == len(clean[k]["text"]) and not secret_scan.base_spans(clean[k]["text"]) for k in range(400))
     assert secret_scan.redact(docs).columns == docs.columns
     assert secret_scan.secret_spans(docs.limit(0)).count() == 0
 
 
-def test_gradient_of_the_field():
-    """Training raises the probability of the tags it was given."""
+def test_whole_query_against_brute_force(secrets):
+    """Spans and digests of every row, from the patterns as they are written and a field trained on the same windows in one process."""
+    from hashlib import sha256
+
+    rows, docs = secrets
+    field = secret_scan.train(docs)
+    for x in secret_scan.secret_spans(docs).collect():
+        text = next(t for i, t, _ in rows if i == x["doc_id"]) or ""
+        base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        base = sorted(base + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert x["base_sha256"] == sha256(shown.encode()).hexdigest()
+        at = [(m.end() - len(m[0].lstrip()), m.end()) for m in re.finditer(r"\s?(?:\w+|[^\w\s])", text)]
+        more = [(at[i][0], 3, at[j][1]) for i, j in field.tagged([text])[0]] if text else []
+        more = [(a, k, b) for a, k, b in more if any(c.isalnum() for c in text[a:b]) and all(b <= s or e <= a for s, _, e in base)]
+        assert x["spans"] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+
+
+def test_long_texts_without_blanks_are_scanned_in_time():
+    import time
+
+    field = secret_scan.Field(np.zeros((secret_scan.BUCKETS, 3), np.float32), secret_scan._legal() - np.eye(3)[1] * 5, frozenset())
+    began = time.perf_counter()
+    for text in ("a" * 10**6, "-" * 10**6, "ab-" * 330_000, "password" * 120_000):
+        secret_scan.batch_spans([text], field)
+    assert time.perf_counter() - began < 20
+
+
+def test_training_raises_the_tags_it_was_given():
     r = np.random.default_rng(2)
     sample = []
     for _ in range(200):
@@ -273,10 +328,10 @@ def test_gradient_of_the_field():
         for k in range(1, n):
             tags[k] = 2 if tags[k] and tags[k - 1] else 0
         x = np.tile(np.arange(secret_scan.FEATURES) * 7, (n, 1)) + tags[:, None]
-        sample.append((x, tags))
+        sample.append((x, tags, 1.0))
     weights, moves = secret_scan.train_field(sample)
-    assert all(secret_scan.viterbi(secret_scan.run_scores(x, weights), moves) == y.tolist() for x, y in sample)
-    assert secret_scan.train_field([(sample[0][0], np.zeros(len(sample[0][1]), np.uint8))]) is None
+    assert all(secret_scan.viterbi(weights[x].sum(axis=1).astype(float), moves) == y.tolist() for x, y, _ in sample)
+    assert secret_scan.train_field([(sample[0][0], np.zeros(len(sample[0][1]), np.uint8), 1.0)]) is None
 
 
 # --- licences ---
