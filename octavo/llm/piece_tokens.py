@@ -4,7 +4,8 @@ Words (a run of spaces and what follows up to the next space) are merged indepen
 of the vocabulary has a space mark after another character; ``PieceTokens`` checks that.  All words not met before by a
 Python worker are merged together: their symbols lie in one flat array, each round finds every word's
 pair of least rank by a segmented minimum, merges its occurrences leftmost first, and compacts the array,
-until no word has a pair left.
+until no word has a pair left.  Words of more than ``LONG`` characters would need as many rounds as they have
+merges, each over the whole word: they are merged by a queue of pairs instead, in the same order, and not remembered.
 
 Defined cases of the Spark operator: null and empty texts have no ids and decode to the empty text; a
 document id may be null or repeat; an empty table gives no rows; other columns are not read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,8 +28,8 @@ from .shared import rows_per_batch, texts
 SPACE = "▁"
 _WORDS = re.compile(" +[^ ]*")
 NONE = np.int32(2**31 - 1)
-#: Words remembered by one Python worker, and characters of words merged at once.
-MEMORY_WORDS, ROUND_CHARS = 600_000, 1 << 20
+#: Words remembered by one Python worker, the longest word merged by rounds and remembered, and characters of words merged at once.
+MEMORY_WORDS, LONG, ROUND_CHARS = 600_000, 128, 1 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
@@ -67,6 +69,7 @@ class PieceTokens:
         self.by_rank = np.array(order, np.int32)
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = rank[[pairs[k] for k in self.keys.tolist()]]
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         # a piece that, once made, can take part in a better pair: its occurrences are merged one at a time
         self.eager = np.zeros(n + len(symbols) + 1, bool)
         for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
@@ -85,12 +88,54 @@ class PieceTokens:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
+    def _symbols_of(self, text: str) -> np.ndarray:
+        """A symbol per character; one without a symbol is kept as a negative number, so that it can fall back to bytes."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
+        return np.where(self.char_codes[at] == codes, self.char_symbols[at], -1 - codes)
+
+    def merge_long(self, word: str) -> np.ndarray:
+        """As ``merge``, of one word: the pair of least rank, then of least place, comes first from a queue."""
+        sym = self._symbols_of(word)
+        n = len(sym)
+        pair = np.full(n, NONE, np.int64)
+        near = np.flatnonzero((sym[:-1] >= 0) & (sym[1:] >= 0))
+        pair[near] = self._rank(sym[near], sym[near + 1])
+        at = np.flatnonzero(pair != NONE)
+        queue = np.sort(pair[at] << 40 | at).tolist()  # a sorted list is a heap
+        sym, pair, by_rank, rank_of = sym.tolist(), pair.tolist(), self.by_rank.tolist(), self.rank_of
+        after, before, none = list(range(1, n + 1)), list(range(-1, n - 1)), int(NONE)
+        pop, push, low = heapq.heappop, heapq.heappush, (1 << 40) - 1
+        while queue:
+            x = pop(queue)
+            i, rank = x & low, x >> 40
+            if pair[i] != rank:
+                continue  # one of its symbols has gone into another pair
+            j = after[i]
+            sym[i] = a = by_rank[rank]
+            pair[j] = none
+            after[i] = k = after[j]
+            sym[j] = None
+            pair[i] = none
+            if k < n:
+                before[k] = i
+                if sym[k] >= 0 and (r := rank_of.get(a << 32 | sym[k])) is not None:
+                    pair[i] = r
+                    push(queue, r << 40 | i)
+            h = before[i]
+            if h >= 0:
+                pair[h] = none
+                if sym[h] >= 0 and (r := rank_of.get(sym[h] << 32 | a)) is not None:
+                    pair[h] = r
+                    push(queue, r << 40 | h)
+        out = np.array([s for s in sym if s is not None], np.int64)
+        if (odd := np.flatnonzero((out < 0) | (out >= self.n))).size:
+            out, _ = self._fall_back(out, np.zeros(len(out), np.int64), odd)
+        return out.astype(np.int32)
+
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word; its spaces are already marked."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
-        # a character without a symbol is kept as a negative number, so that it can fall back to bytes
-        sym = np.where(self.char_codes[at] == codes, self.char_symbols[at], -1 - codes)
+        sym = self._symbols_of("".join(words))
         of = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_sym, done_of = [], []
         while len(sym):
@@ -146,12 +191,12 @@ class PieceTokens:
         return [w[1:] for w in _WORDS.findall(text)]
 
     def learn(self, words: set[str]) -> None:
-        """Remember what is not known yet; a word is keyed without its first space."""
+        """Remember what is not known yet, of words that aren't long; a word is keyed without its first space."""
         if len(self.memory) > MEMORY_WORDS:
             self.memory.clear()
         todo, size = [], 0
         for w in words:
-            if w not in self.memory:
+            if w not in self.memory and len(w) < LONG:
                 todo.append(w)
                 size += len(w) + 1
                 if size >= ROUND_CHARS:
@@ -160,6 +205,10 @@ class PieceTokens:
         if todo:
             self._remember(todo)
 
+    def _long(self, word: str) -> tuple[bytes, str]:
+        ids = self.merge_long((" " + word).replace(" ", SPACE))
+        return ids.astype("<u4").tobytes(), ",".join(map(str, ids.tolist()))
+
     def _remember(self, words: list[str]) -> None:
         for w, ids in zip(words, self.merge([(" " + w).replace(" ", SPACE) for w in words]), strict=True):
             self.memory[w] = ids.astype("<u4").tobytes(), ",".join(map(str, ids.tolist()))
@@ -169,11 +218,11 @@ class PieceTokens:
         split = [self.split(t) if t else [] for t in batch]
         known = self.memory
         self.learn({w for ws in split for w in ws if w not in known})
-        if any(w not in known for ws in split for w in ws):
+        if any(w not in known for ws in split for w in ws if len(w) < LONG):
             self.learn({w for ws in split for w in ws})  # the memory was emptied
         out = []
         for ws in split:
-            got = [known[w] for w in ws]
+            got = [known[w] if len(w) < LONG else self._long(w) for w in ws]
             out.append((b"".join([a for a, _ in got]), ",".join([b for _, b in got])))
         return out
 

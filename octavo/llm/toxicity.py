@@ -8,7 +8,7 @@ categories' probabilities out of fold, so that it learns from errors of the size
 
 Defined cases: a null or empty text has no words and gets what the models say of that; documents without
 labels are scored alike; repeated rows are scored alike; labels for missing documents and null labels are
-left out; with no usable label, or one class only, a category's probability is its share in the sample
+left out; rows of one text are one example, with the label that most of them have, the larger one if as many have each; with no usable label, or one class only, a category's probability is its share in the sample
 (0 without any); an empty table gives no rows; other columns are not read.
 """
 
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, rows_per_batch, texts
+from .shared import hash_cutoff, keep, rows_per_batch, texts
 
-#: Most labelled documents used to fit (about, by hash of the id), words marked per category, least documents of a word.
+#: Most labelled documents used to fit (those of the least hashes of the id), words marked per category, least documents of a word.
 SAMPLE_DOCS, MARKED, WORD_DOCS = 8000, 128, 5
 FOLDS, ROUNDS, RIDGE, THRESHOLD = 5, 300, 1e-4, 0.5
 #: A marked word is telling for a category when so large a share of its documents have it, and so many times the usual share.
@@ -116,12 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     """The marked words and the models."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("int") for c in categories]).na.drop()
     known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
-    n = known.count()
-    # about SAMPLE_DOCS of them at any size; the bound makes the broadcast safe
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 20)))
+    # SAMPLE_DOCS of them at any size: the bound makes the broadcast safe
+    cutoff = hash_cutoff(known.select(F.xxhash64("doc_id").alias("h")), SAMPLE_DOCS)
+    known = known.where(F.xxhash64("doc_id") <= F.lit(cutoff if cutoff is not None else 0).cast("long"))
     rows_per_batch(docs.sparkSession)
     # copies of a text count once, else their words would mark whatever label the text happens to have
-    sample = keep(texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").dropDuplicates(["text"]), "labelled")
+    found = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id")
+    votes = [F.when(2 * F.sum(c) >= F.count(F.lit(1)), 1).otherwise(0).alias(c) for c in categories]
+    sample = keep(found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), *votes), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

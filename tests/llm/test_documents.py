@@ -124,6 +124,60 @@ def test_toxic_documents_are_caught(labelled):
     assert left.columns == docs.columns and {x["doc_id"] for x in left.collect()} == {k for k, x in got.items() if not x["toxic"]}
 
 
+def brute_toxicity(docs, labels, categories=("quality", "toxic")):
+    """The whole query in plain Python: votes of copies, marked and telling words by chi-square, features, chain; doc_id -> probabilities."""
+    labels = {i: y for i, *y in labels if None not in y[:2]}
+    votes = {}
+    for i, t, _ in docs:
+        if i in labels:
+            votes.setdefault(t, []).append((i, labels[i]))
+    sample = [(min(i for i, _ in v), t, [int(2 * sum(y[c] for _, y in v) >= len(v)) for c in range(2)]) for t, v in votes.items()]
+    found = [set(re.findall(r"[^\W\d_]+", (t or "").lower())) for _, t, _ in sample]
+    rows, marked, telling = len(sample), [], []
+    n = Counter(w for f in found for w in f)
+    for c in range(2):
+        pos = sum(y[c] for *_, y in sample)
+        a = Counter(w for f, (*_, y) in zip(found, sample) if y[c] for w in f)
+        chi = {w: (a[w] * (rows - n[w] - pos + a[w]) - (n[w] - a[w]) * (pos - a[w])) ** 2 / (n[w] * (rows - n[w]) + 1e-9) for w in n if n[w] >= toxicity.WORD_DOCS}
+        top = sorted(chi, key=lambda w: (-chi[w], w))[: toxicity.MARKED]
+        marked += [w for w in top if w not in marked]
+        telling.append([w for w in top if a[w] >= max(toxicity.TELLING, toxicity.LIFT * pos / rows) * n[w]])
+
+    def vector(t):
+        if not t:
+            return [0.0] * (len(marked) + 2 + toxicity.DENSE)
+        ws = re.findall(r"[^\W\d_]+", t.lower())
+        out = [float(w in ws) for w in marked] + [min(len(set(ws) & set(x)), 3) / 3 for x in telling]
+        signs = sum(c in "#*$%&|<>" for c in t)
+        return out + [np.log1p(len(ws)) / 10, min(3 * len(re.findall("[A-Z]{2,}", t)) / len(t), 1), signs / len(t), sum(map(len, ws)) / max(len(ws), 1) / 10, len(set(ws)) / max(len(ws), 1), float(len(ws) < 20)]
+
+    sample.sort(key=lambda x: x[0])
+    x, y = np.array([vector(t) for _, t, _ in sample], np.float32), np.array([v for *_, v in sample], float)
+    fold = np.array([((i * 0x9E3779B97F4A7C15) % 2**64 >> 40) % toxicity.FOLDS for i, *_ in sample])
+    seen, every = x, np.array([vector(t) for _, t, _ in docs], np.float32)
+    for c in range(2):
+        sig = lambda v, w: 1 / (1 + np.exp(-(v @ w[:-1] + w[-1])))
+        w, out = toxicity.fit(seen, y[:, c]), np.zeros(len(x), np.float32)
+        for f in range(toxicity.FOLDS):
+            out[fold == f] = sig(seen[fold == f], toxicity.fit(seen[fold != f], y[fold != f, c]))
+        every, seen = np.hstack([every, sig(every, w)[:, None]]), np.hstack([seen, out[:, None]])
+    return {i: every[k, -2:] for k, (i, *_) in enumerate(docs)}
+
+
+def test_toxicity_against_brute_force(spark, labelled):
+    docs, labels = labelled
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    # copies whose labels disagree: two to one against, and one to one
+    rows += [(2000, rows[5][1], "s"), (2001, rows[5][1], "s"), (2002, rows[10][1], "s")]
+    extra = [(2000, 0, 0), (2001, 0, 0), (2002, 1, 0)]
+    known = [tuple(r)[:3] for r in labels.collect()] + extra
+    want = brute_toxicity(rows, known)
+    got = toxicity.toxic_documents(frame(spark, rows).repartition(3), spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert np.allclose([x["p_quality"], x["p_toxic"]], want[x["doc_id"]], atol=1e-4) and x["toxic"] == (x["p_toxic"] >= 0.5)
+
+
 def test_without_labels(labelled):
     docs, labels = labelled
     got = toxicity.toxic_documents(docs, labels.limit(0))

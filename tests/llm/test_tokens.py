@@ -158,6 +158,27 @@ def test_merges_of_random_texts():
     assert mine.decode_batch([np.array(x, "<u4").tobytes() for x in some]) == [sp.decode(x) for x in some]
 
 
+@pytest.mark.parametrize("of", ["abcdefghijklmnopqrstuvwxyz", "the=-/ ", "a", "日本é0\n", "enrst"])
+def test_long_words_are_the_librarys(of, monkeypatch):
+    sp, mine, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_tokens.PieceTokens(PIECES), random.Random(9)
+    for n in (127, 128, 129, 130, 3000, 20_000):
+        text = "".join(r.choice(of) for _ in range(n))
+        assert np.frombuffer(mine.encode_batch([text])[0][0], "<u4").tolist() == sp.encode(text)
+    # both ways of merging agree on every word
+    words = ["".join(r.choice(of) for _ in range(r.randrange(1, 60))).replace(" ", piece_tokens.SPACE) for _ in range(200)]
+    assert [mine.merge_long(w).tolist() for w in words] == [x.tolist() for x in mine.merge(words)]
+
+
+def test_a_megabyte_without_spaces():
+    import time
+
+    sp, mine, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_tokens.PieceTokens(PIECES), random.Random(9)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(10**6))
+    began = time.perf_counter()
+    got = mine.encode_batch([text])[0][0]
+    assert time.perf_counter() - began < 60 and np.frombuffer(got, "<u4").tolist() == sp.encode(text)
+
+
 def test_memory_can_run_full(monkeypatch):
     monkeypatch.setattr(piece_tokens, "MEMORY_WORDS", 3)
     sp, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_tokens.PieceTokens(PIECES)
