@@ -11,7 +11,7 @@ def brute(rows, least=0.9):
     for i, v in rows:
         x = vector_links.unit(v)
         ids.append(i)
-        unit.append(None if x is None or len(x) != 16 else x)
+        unit.append(x)
     up = list(range(len(ids)))
 
     def find(k):
@@ -22,7 +22,7 @@ def brute(rows, least=0.9):
     links = [0] * len(ids)
     for a in range(len(ids)):
         for b in range(a):
-            if unit[a] is not None and unit[b] is not None and unit[a] @ unit[b] >= least:
+            if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least:
                 links[a] += 1
                 links[b] += 1
                 x, y = find(a), find(b)
@@ -41,7 +41,7 @@ def rows():
         made += [c + r.standard_normal(16) * s for s in r.choice([0.0, 0.05, 0.2, 0.4], r.integers(1, 12))]
     made += [made[0]] * 30 + [made[0] * 3]
     out = [[float(np.float32(x)) for x in v] for v in made]
-    out += [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
+    out += [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0], [1.0, 1.9], [1.0], [-2.0], [3.0], [1.0] * 17]
     order = r.permutation(len(out))
     return [(int(k), out[j]) for k, j in enumerate(order)]
 
@@ -59,6 +59,26 @@ def test_against_all_pairs(spark, rows, monkeypatch, leaf, block):
         assert got == want
 
 
+@pytest.mark.parametrize("sample", [100, 30])
+def test_large_leaves_are_split(spark, monkeypatch, sample):
+    monkeypatch.setattr(vector_links, "SAMPLE", sample)
+    monkeypatch.setattr(vector_links, "MOST", 120)
+    monkeypatch.setattr(vector_links, "REFIT", 100)
+    monkeypatch.setattr(vector_links, "BLOCK", 64)
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((300, 16))
+    x = np.repeat(centres, 6, axis=0) + 0.15 * r.standard_normal((1800, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sizes = []
+    compare = vector_links._split_large
+    monkeypatch.setattr(vector_links, "_split_large", lambda *a: sizes.append((a[1].agg({"n": "max"}).first()[0], compare(*a))) or sizes[-1][1])
+    got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in vector_links.near_vectors(df, leaf=100).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert sizes[0][0] > 120 and sizes[0][1][1].agg({"n": "max"}).first()[0] < sizes[0][0]
+    assert all(got[k][0] <= n for k, n in enumerate(want.tolist())) and sum(g[0] for g in got.values()) >= 0.9 * want.sum()
+
+
 def test_nothing(spark):
     assert vector_links.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
