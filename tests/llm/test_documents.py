@@ -412,12 +412,43 @@ def test_license_scan(spark):
 
 
 def test_prefilter_loses_nothing():
-    """No line without a heavy term reaches the limit: checked over the templates' own terms."""
+    """No unit without a heavy term reaches the limit: checked over the templates' own terms."""
     r = random.Random(3)
     having = {w: r.randrange(0, 900) for _, t in license_scan.TEMPLATES for w in license_scan._terms(t)}
     weights = license_scan.Weights(license_scan.TEMPLATES, 1000, having, license_scan.LIMIT)
     for (_, text), (_, of) in zip(license_scan.TEMPLATES, weights.rows):
-        light = [w for w in license_scan._terms(text) if w not in weights.heavy]
-        c = Counter(light)
+        c = Counter(w for w in license_scan._terms(text) if w not in weights.heavy)
         norm = np.sqrt(sum((n * weights.idf[w]) ** 2 for w, n in c.items()))
-        assert not light or sum(n * of[w] for w, n in c.items()) / norm < license_scan.LIMIT
+        assert not c or sum(n * weights.idf[w] * of[w] for w, n in c.items()) / norm < license_scan.LIMIT
+
+
+def test_wrapped_headers_and_licence_texts(spark):
+    """Notices as files hold them: wrapped, in comments, with names of holders; and whole licence texts."""
+    import textwrap
+
+    t = license_scan
+    comment = lambda x, mark, width=60: "\n".join(f"{mark} {line}".rstrip() for p in x.split("\n") for line in (textwrap.wrap(p, width) or [""]))
+    holder = "Copyright (c) 2021, Some Body.\nAll rights reserved."
+    bsd2, bsd3 = (f"{t._BSD_INTRO}\n{x}\n{t._BSD_END}" for x in (t._BSD_TWO, f"{t._BSD_TWO}\n{t._BSD_THIRD}"))
+    spaced = lambda x: x.replace("\n", "\n\n")
+    cases = [
+        ("src/a.c", "/*\n" + comment(f"{holder}\n\n{t._gnu(t._GPL, '3', True)}\n\n{t._GNU_END.format(t._GPL, t._GPL)}", " *") + "\n */\nint x;", "GPL-3.0"),
+        ("src/b.py", comment(f"{t._gnu(t._LGPL, '2.1', True)}\n\n{t._GNU_END.format(t._LGPL, t._LGPL)}", "#", 70) + "\nimport this\n", "LGPL-2.1"),
+        ("src/c.js", comment(f"{t._MIT_GRANT}\n\n{t._MIT_REST}", "//", 72) + "\nvar a;", "MIT"),
+        ("src/d.go", comment(f"{holder}\n{bsd3}", "//", 50) + "\npackage d", "BSD-3-Clause"),
+        ("src/e.java", "/**\n" + comment(f"{t._APACHE}\n\n{t._APACHE_END}", " *", 76) + "\n */", "Apache-2.0"),
+        ("src/f.h", comment(holder, "//") + "\nvoid f();", "Proprietary"),
+        ("src/g.rs", comment("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "//", 66), "MPL-2.0"),
+        ("m/LICENSE", f"MIT License\n\n{holder}\n\n{textwrap.fill(t._MIT_GRANT, 78)}\n\n{t._MIT_REST}", "MIT"),
+        ("b/LICENSE.txt", f"{holder}\n\n{spaced(bsd3)}", "BSD-3-Clause"),
+        ("c/LICENSE", f"{holder}\n\n{spaced(bsd2)}", "BSD-2-Clause"),
+        ("i/COPYING", f"ISC License\n\nCopyright 2020 A\n\n{t._ISC}\n\n{t._ISC_END}", "ISC"),
+        ("g/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n\n" + "Preamble words of some length. " * 50, "GPL-2.0"),
+        ("h/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE\n", "Apache-2.0"),
+        ("n/x.txt", "The licence of a driver and the rights of others are reserved for a chapter of their own, as is the public.", None),
+    ]
+    r = random.Random(2)
+    rows = [(k, path, text) for k, (path, text, _) in enumerate(cases)] + [(100 + k, f"p/{k}", f"the of and to in a is for this that with {' '.join(words(r, 30))}") for k in range(60)]
+    got = {x["doc_id"]: x["license"] for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("basis <> 'directory'").collect()}
+    assert [got[k] for k in range(len(cases))] == [name for *_, name in cases]
+    assert all(got[k] is None for k in got if k >= 100)
