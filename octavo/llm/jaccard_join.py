@@ -3,8 +3,10 @@
 The incidence matrix of documents by n-grams is cut into column blocks by n-gram hash, and products are
 only accumulated where a bound on sizes leaves a pair possible:
 
-1. Column blocks count each n-gram's documents.  A document can only have a partner if enough of its
-   n-grams occur in another document; most documents leave here, having sent a few bytes per n-gram.
+1. Every text's set is made once and written, in gathers: runs of sets that one task made.  Column blocks count each
+   n-gram's documents.  An n-gram that repeats within a gather is sent once, as "several", so a block holds an n-gram
+   once per gather at most, however many documents have it.  A document can only have a partner if enough of its
+   n-grams occur in another document; what comes back is a bitmap per gather, and most documents leave here.
 2. For the rest, distinct sets are kept once.  Two sets that reach the limit share one of the rarest
    n-grams of each (as many as the size bound leaves uncovered); only those columns are multiplied.
 3. Within a column, a pair is dropped by its sizes and by a bound on its symmetric difference, from
@@ -12,7 +14,8 @@ only accumulated where a bound on sizes leaves a pair possible:
    against set.  First every set tries the pair with most shared rare n-grams, then its nearest one for a
    few rounds, so that copies of one text connect without multiplying out; the last round takes all pairs left.
 
-n-grams are compared by 64-bit hashes.  Long columns are cut into segments that meet in pairs.
+What comes out are the classes of documents connected by links, not the number of links: pairs of one class are not all
+compared.  n-grams and sets are compared by 64-bit hashes.  Long columns are cut into segments that meet in pairs.
 
 Defined cases: a text of fewer words than n is one n-gram; a text without words, empty or null, has no
 n-grams and is connected to nothing; rows with equal sets are connected, whatever their ids; a null id is
@@ -28,18 +31,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.views import get_bit
 from .components import components
-from .key_sets import key_bitmap, may_be_in, without
+from .key_sets import split_by, without
 from .shared import bucketed, keep, rows_per_batch, split_words, texts
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes of text per column block, n-grams and documents a task gathers before it hands blocks on.
+#: Bytes of text per column block, n-grams and documents of a gather.
 BLOCK_BYTES, GATHER, GATHER_DOCS = 24 << 20, 2 << 20, 60_000
-BITMAP_BITS, SEGMENT, NEAREST_ROUNDS = 1024, 2048, 3
+#: Words whose hashes a Python worker remembers, and the longest of them.
+MEMORY_WORDS, MEMORY_CHARS = 300_000, 64
+BITMAP_BITS, SEGMENT, NEAREST_ROUNDS, PAIRS_AT_ONCE = 1024, 2048, 3, 2 << 20
 
 
 @dataclass(frozen=True)
@@ -65,9 +71,11 @@ class Limit:
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= MEMORY_CHARS:
+            if len(self) > MEMORY_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -96,172 +104,251 @@ def _node(s: np.ndarray) -> int:
 
 
 def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    """Grows with the hash."""
     return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
 
 
-_GATHERED = "block int, gather long, places binary, hashes binary, meta binary"
+#: Stands for the place of an n-gram that several documents of a gather have.
+SEVERAL = 0xFFFF
+_GATHERED = "block int, gather long, hashes binary, places binary, counts binary, own binary"
+_KINDS = {"block": pa.int32(), "gather": pa.int64()}
+
+
+def _table(rows: list[tuple], schema: str) -> dict[str, pa.Array]:
+    names = [x.split()[0] for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return {n: pa.array(c, _KINDS.get(n, pa.binary())) for n, c in zip(names, cols, strict=True)}
 
 
 class _Gather:
-    """Collects sets, and hands them on as one row per column block, with a row of what the documents are."""
+    """Collects sets of one gather, and hands them on as one row per column block, with a row of its own documents."""
 
-    def __init__(self, blocks: int, hash_type: str):
-        self.blocks, self.hash_type, self.no = blocks, hash_type, 0
-        self.part = TaskContext.get().partitionId()
+    def __init__(self, blocks: int, exact: bool):
+        self.blocks, self.exact = blocks, exact
         self._clear()
 
     def _clear(self) -> None:
-        self.sets, self.meta, self.size = [], [], 0
+        self.sets, self.places, self.meta, self.size = [], [], [], 0
 
-    def add(self, s: np.ndarray, *meta: int) -> bool:
+    def add(self, place: int, s: np.ndarray, meta: int) -> bool:
         self.sets.append(s)
-        self.meta.append((*meta, len(s)))
+        self.places.append(place)
+        self.meta.append((place, meta, len(s)))
         self.size += len(s)
-        return self.size >= GATHER or len(self.sets) >= GATHER_DOCS
-
-    def rows(self) -> pa.RecordBatch:
-        gather, h = self.part << 24 | self.no, np.concatenate([*self.sets, np.zeros(0, np.uint64)])
-        place = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(s) for s in self.sets])
-        block = _block_of(h, self.blocks)
-        order = np.argsort(block, kind="stable")
-        h, place = h[order].astype(self.hash_type), place[order]
-        found, first = np.unique(block[order], return_index=True)
-        ends = [*first[1:].tolist(), len(h)][: len(found)]
-        rows = [(int(b), gather, place[i:j].tobytes(), h[i:j].tobytes(), None) for b, i, j in zip(found, first.tolist(), ends, strict=True)]
-        rows.append((self.no % self.blocks, gather, None, None, np.array(self.meta, np.int64).tobytes()))
-        self.no += 1
+        return self.size >= GATHER
+
+    def rows(self, gather: int) -> pa.RecordBatch:
+        h = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+        place = np.repeat(np.array(self.places, np.uint16), [len(s) for s in self.sets])
+        order = np.argsort(h)
+        h, place = h[order], place[order]
+        new = np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(h)))
+        one = np.where(count > 1, SEVERAL, place[first]).astype(np.uint16)
+        each, block = h[first], _block_of(h[first], self.blocks)
+        repeated = np.repeat(count > 1, count)
+        meta = np.array(self.meta, np.int64).tobytes()
+        if self.exact:
+            # what the gather has to know again when the counts of its repeated n-grams come back
+            own = np.concatenate([place[repeated].view(np.uint8), h[repeated].view(np.uint8)]).tobytes()
+        else:
+            own = np.bincount(place[repeated], minlength=1).astype("<u4").tobytes()
+        cuts = np.flatnonzero(np.concatenate([np.ones(min(len(block), 1), bool), block[1:] != block[:-1]])).tolist()
+        kind = "<u8" if self.exact else "<u4"
+        rows = []
+        for i, j in zip(cuts, [*cuts[1:], len(block)], strict=True):
+            counts = count[i:j].astype("<u4").tobytes() if self.exact else None
+            rows.append((int(block[i]), gather, each[i:j].astype(kind).tobytes(), one[i:j].tobytes(), counts, None))
+        rows.append((gather % self.blocks, gather, None, meta, None, own))
         self._clear()
-        cols = list(zip(*rows, strict=True))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "gather", "places", "hashes", "meta"])
+        return pa.RecordBatch.from_pydict(_table(rows, _GATHERED))
 
 
-def _column_counts(with_hashes: bool, hash_type: str):
-    """For one column block: per gather the places of documents with n-grams that others have too, and how many, or which and in how many documents."""
+def _gathered(blocks: int, exact: bool):
+    """From rows (gather, place, node, hashes), those of a gather together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, was = _Gather(blocks, exact), None
+        for b in batches:
+            for gather, place, node, hashes in zip(*(b[c].to_pylist() for c in ("gather", "place", "node", "hashes")), strict=True):
+                if gather != was and g.sets:
+                    yield g.rows(was)
+                was = gather
+                if g.add(place, np.frombuffer(hashes, np.uint64), node):
+                    yield g.rows(was)
+        if g.sets:
+            yield g.rows(was)
+
+    return run
+
+
+_COUNTED = "gather long, places binary, counts binary, hashes binary, meta binary, own binary"
+
+
+def _column_counts(exact: bool):
+    """For one column block: per gather the places of single n-grams that other gathers have too, and how many; or which n-grams, and in how many documents."""
+    kind = "<u8" if exact else "<u4"
 
     def run(table: pa.Table) -> pa.Table:
-        out, gathers, places, hashes = [], [], [], []
-        for gather, p, h, meta in zip(*(table[c].to_pylist() for c in ("gather", "places", "hashes", "meta")), strict=True):
-            if meta is not None:
-                out.append((gather, None, None, None, meta))
+        out, gathers, places, hashes, counts = [], [], [], [], []
+        for gather, h, p, c, own in zip(*(table[x].to_pylist() for x in ("gather", "hashes", "places", "counts", "own")), strict=True):
+            if h is None:
+                out.append((gather, None, None, None, p, own))
             else:
                 gathers.append(gather)
                 places.append(np.frombuffer(p, np.uint16))
-                hashes.append(np.frombuffer(h, hash_type))
+                hashes.append(np.frombuffer(h, kind))
+                counts.append(np.frombuffer(c, "<u4") if exact else np.ones(len(places[-1]), np.uint32))
         if gathers:
             every = np.concatenate(hashes)
-            order = np.argsort(every, kind="stable")
+            order = np.argsort(every)
             new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
             group = np.cumsum(new) - 1
-            size = np.bincount(group)
+            size = np.bincount(group, weights=np.concatenate(counts)[order])
             df = np.empty(len(every), np.uint32)
             df[order] = size[group]
             at = 0
             for gather, p, h in zip(gathers, places, hashes, strict=True):
                 n = df[at : at + len(p)]
                 at += len(p)
-                shared = n > 1
-                if not shared.any():
-                    continue
-                if with_hashes:
-                    out.append((gather, p[shared].tobytes(), n[shared].tobytes(), h[shared].tobytes(), None))
-                else:
+                if exact:
+                    shared = n > 1
+                    if shared.any():
+                        out.append((gather, p[shared].tobytes(), n[shared].tobytes(), h[shared].tobytes(), None, None))
+                elif (shared := (n > 1) & (p != SEVERAL)).any():
                     found, count = np.unique(p[shared], return_counts=True)
-                    out.append((gather, found.tobytes(), count.astype(np.uint32).tobytes(), None, None))
-        kinds = [("gather", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("meta", pa.binary())]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds, cols, strict=True)})
+                    out.append((gather, found.tobytes(), count.astype(np.uint32).tobytes(), None, None, None))
+        return pa.table(_table(out, _COUNTED))
 
     return run
 
 
-_COUNTED = "gather long, places binary, counts binary, hashes binary, meta binary"
+def _counted(sets: DataFrame, blocks: int, exact: bool) -> DataFrame:
+    """The blocks' answers; tasks are as many as the blocks ask for, whatever the session's number of shuffle partitions."""
+    parts = max(blocks // 2, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = sets.select("gather", "place", "node", "hashes").mapInArrow(_gathered(blocks, exact), _GATHERED)
+    return sent.repartition(parts, "block").groupBy("block").applyInArrow(_column_counts(exact), _COUNTED).repartition(parts, "gather")
+
 
+def _meta(table: pa.Table) -> np.ndarray:
+    """Place, node and size of a gather's sets."""
+    return np.concatenate([np.frombuffer(m, np.int64) for m in table["meta"].to_pylist() if m is not None]).reshape(-1, 3)
 
-def facts(docs: DataFrame, blocks: int, n: int, limit: Limit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``node`` (of its set), ``key`` (of its text), ``candidate``."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Gather(blocks, "<u4")
+def written_sets(docs: DataFrame, blocks: int, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``doc_id``, ``key`` (of its text), ``gather``, ``place``, ``node`` (of its set), ``n`` and ``hashes``: a table bucketed by gather, so that a gather's bitmap finds its sets in place."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, no, place, size = TaskContext.get().partitionId(), 0, 0, 0
         for b in batches:
-            for doc_id, key, text in zip(b["doc_id"].to_pylist(), b["key"].to_pylist(), b["text"], strict=True):
-                s = ngram_set(text.as_py(), n)
-                if g.add(s, 0 if doc_id is None else doc_id, doc_id is None, key, _node(s)):
-                    yield g.rows()
-        if g.sets:
-            yield g.rows()
+            sets = [ngram_set(t.as_py(), n) for t in b["text"]]
+            gathers, places = [], []
+            for s in sets:
+                if size >= GATHER or place >= GATHER_DOCS:
+                    no, place, size = no + 1, 0, 0
+                gathers.append(part << 24 | no)
+                places.append(place)
+                place, size = place + 1, size + len(s)
+            cols = {"doc_id": b["doc_id"], "key": b["key"], "gather": pa.array(gathers, pa.int64()), "place": pa.array(places, pa.int32())}
+            cols |= {"node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32())}
+            yield pa.RecordBatch.from_pydict(cols | {"hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    made = rows.mapInArrow(read, "doc_id long, key long, gather long, place int, node long, n int, hashes binary")
+    return bucketed(made, "gather", max(32, min(blocks, 4096)))
+
+
+def candidate_bitmaps(sets: DataFrame, blocks: int, limit: Limit) -> DataFrame:
+    """``gather`` and a bitmap (``marks``) of the places whose sets have enough n-grams that others have."""
 
     def decide(table: pa.Table) -> pa.Table:
-        meta = np.concatenate([np.frombuffer(m, np.int64) for m in table["meta"].to_pylist() if m is not None]).reshape(-1, 5)
-        shared = np.zeros(len(meta), np.int64)
-        for p, c in zip(table["places"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            if p is not None:
+        meta = _meta(table)
+        shared = np.zeros(int(meta[:, 0].max()) + 1, np.int64)
+        for p, c, own in zip(*(table[x].to_pylist() for x in ("places", "counts", "own")), strict=True):
+            if own is not None:
+                own = np.frombuffer(own, "<u4")
+                shared[: len(own)] += own[: len(shared)]
+            else:
                 shared[np.frombuffer(p, np.uint16)] += np.frombuffer(c, np.uint32)
-        size = meta[:, 4]
-        maybe = (size > 0) & (shared >= limit.least_overlap(size))
-        return pa.table({"doc_id": pa.array(meta[:, 0], mask=meta[:, 1] == 1), "n_shingles": size, "node": meta[:, 3], "key": meta[:, 2], "candidate": maybe})
+        place, size = meta[:, 0], meta[:, 2]
+        maybe = np.zeros(len(shared), np.uint8)
+        maybe[place[(size > 0) & (shared[place] >= limit.least_overlap(size))]] = 1
+        if not maybe.any():
+            return pa.table({"gather": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+        return pa.table({"gather": table["gather"][:1], "marks": pa.array([np.packbits(maybe, bitorder="little").tobytes()], pa.binary())})
 
-    rows = texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("key"))
-    counted = rows.mapInArrow(gather, _GATHERED).groupBy("block").applyInArrow(_column_counts(False, "<u4"), _COUNTED)
-    return counted.groupBy("gather").applyInArrow(decide, "doc_id long, n_shingles long, node long, key long, candidate boolean")
+    return _counted(sets, blocks, False).groupBy("gather").applyInArrow(decide, "gather long, marks binary")
 
 
-def candidate_sets(docs: DataFrame, keys: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """``node``, ``n``, ``hashes`` and parity ``bits`` of the sets of the texts with these keys, several times if texts repeat.
-
-    A bitmap of the keys, of bounded size, lets other texts go before anything is moved; the few that it mistakes only
-    add sets that link with nothing.  If there are too many keys for it, they are joined as well.
-    """
-    bitmap, telling = key_bitmap(keys)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+def candidate_sets(sets: DataFrame, marks: DataFrame) -> DataFrame:
+    """``node``, ``n``, ``hashes`` and parity ``bits`` of the marked sets, several times if sets repeat."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, done = np.frombuffer(sent.value, np.uint8), set()
+        done = set()
         for b in batches:
-            out = []
-            key = b["key"].to_numpy()
-            for k in np.flatnonzero(may_be_in(marks, key)).tolist():
-                if key[k] in done:
-                    continue
-                done.add(key[k])
-                if len(s := ngram_set(b["text"][k].as_py(), n)):
-                    parity = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS).astype(np.uint8) & 1
-                    out.append((_node(s), len(s), s.tobytes(), np.packbits(parity).tobytes()))
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["node", "n", "hashes", "bits"])
-
-    rows = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = rows if telling else rows.join(keys, "key", "left_semi")
-    return rows.mapInArrow(read, "node long, n int, hashes binary, bits binary")
+            fresh = []
+            for k, node in enumerate(b["node"].to_pylist()):
+                if node not in done:
+                    done.add(node)
+                    fresh.append(k)
+            if fresh:
+                b = b.take(pa.array(fresh))
+                bits = []
+                for s in b["hashes"].to_pylist():
+                    low = (np.frombuffer(s, np.uint64) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+                    bits.append(np.packbits(np.bincount(low, minlength=BITMAP_BITS).astype(np.uint8) & 1).tobytes())
+                yield pa.RecordBatch.from_arrays([b["node"], b["n"], b["hashes"], pa.array(bits, pa.binary())], names=["node", "n", "hashes", "bits"])
+
+    found = sets.where("n > 0").join(marks, "gather").where(get_bit(F.col("marks"), F.col("place")))
+    return found.select("node", "n", "hashes").mapInArrow(read, "node long, n int, hashes binary, bits binary")
 
 
 def rare_columns(sets: DataFrame, blocks: int, limit: Limit) -> DataFrame:
     """``h``, ``node``, ``n``: for each set the rarest of its shared n-grams, as many as the size bound leaves uncovered."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Gather(blocks, "<u8")
+    def place_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, no, place, size = TaskContext.get().partitionId(), 0, 0, 0
         for b in batches:
-            for node, hashes in zip(b["node"].to_pylist(), b["hashes"].to_pylist(), strict=True):
-                if g.add(np.frombuffer(hashes, np.uint64), node):
-                    yield g.rows()
-        if g.sets:
-            yield g.rows()
+            gathers, places = [], []
+            for k in b["n"].to_pylist():
+                if size >= GATHER or place >= GATHER_DOCS:
+                    no, place, size = no + 1, 0, 0
+                gathers.append(part << 24 | no)
+                places.append(place)
+                place, size = place + 1, size + k
+            yield pa.RecordBatch.from_arrays([pa.array(gathers, pa.int64()), pa.array(places, pa.int32()), b["node"], b["hashes"]], names=["gather", "place", "node", "hashes"])
 
     def choose(table: pa.Table) -> pa.Table:
-        meta = np.concatenate([np.frombuffer(m, np.int64) for m in table["meta"].to_pylist() if m is not None]).reshape(-1, 2)
+        meta = _meta(table)
+        node, total = np.zeros(int(meta[:, 0].max()) + 1, np.int64), np.zeros(int(meta[:, 0].max()) + 1, np.int64)
+        node[meta[:, 0]], total[meta[:, 0]] = meta[:, 1], meta[:, 2]
         got = [(p, c, h) for p, c, h in zip(*(table[x].to_pylist() for x in ("places", "counts", "hashes")), strict=True) if p is not None]
         place, df, h = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*got, strict=True) if got else ([], [], []), (np.uint16, np.uint32, np.uint64), strict=True))
+        several = place == SEVERAL
+        # a repeated n-gram's count goes to all of the gather's sets that have it
+        many, many_df = h[several], df[several]
+        order = np.argsort(many, kind="stable")
+        many, many_df = many[order], many_df[order]
+        places, hashes, dfs = [place[~several]], [h[~several]], [df[~several]]
+        for own in table["own"].to_pylist():
+            if own:
+                k = len(own) // 10
+                own_place, own_hash = np.frombuffer(own, np.uint16, k), np.frombuffer(own, np.uint64, k, 2 * k)
+                places.append(own_place)
+                hashes.append(own_hash)
+                dfs.append(many_df[np.searchsorted(many, own_hash)])
+        place, h, df = np.concatenate(places), np.concatenate(hashes), np.concatenate(dfs)
         order = np.lexsort((h, df, place))
         place, h = place[order].astype(np.int64), h[order]
-        shared = np.bincount(place, minlength=len(meta))
+        shared = np.bincount(place, minlength=len(node))
         rank = np.arange(len(place)) - (np.cumsum(shared) - shared)[place]
         # shared - least + 1: the unshared ones, rarest of all, can't meet anything
-        take = rank < (shared - limit.least_overlap(meta[:, 1]) + 1)[place]
-        return pa.table({"h": h[take].view(np.int64), "node": meta[place[take], 0], "n": meta[place[take], 1].astype(np.int32)})
+        take = rank < (shared - limit.least_overlap(total) + 1)[place]
+        return pa.table({"h": h[take].view(np.int64), "node": node[place[take]], "n": total[place[take]].astype(np.int32)})
 
-    counted = sets.select("node", "hashes").mapInArrow(gather, _GATHERED).groupBy("block").applyInArrow(_column_counts(True, "<u8"), _COUNTED)
-    return counted.groupBy("gather").applyInArrow(choose, "h long, node long, n int")
+    placed = sets.select("n", "node", "hashes").mapInArrow(place_sets, "gather long, place int, node long, hashes binary")
+    return _counted(placed, blocks, True).groupBy("gather").applyInArrow(choose, "h long, node long, n int")
 
 
 def by_node(sets: DataFrame, parts: int) -> DataFrame:
@@ -305,6 +392,20 @@ def near_enough(pairs: DataFrame, nodes: DataFrame, limit: Limit) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
+def _each_pair(found: list[np.ndarray], all_pairs: bool) -> np.ndarray:
+    """Each pair (a, b, distance) once; of pairs that are only asked for the nearest of each end, those that are it for one."""
+    x = np.concatenate(found)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    x = x[np.concatenate([np.ones(min(len(x), 1), bool), (x[1:, :2] != x[:-1, :2]).any(axis=1)])]
+    if not all_pairs and len(x):
+        keep_ = np.zeros(len(x), bool)
+        for end in (0, 1):
+            order = np.lexsort((x[:, 1], x[:, 0], x[:, 2], x[:, end]))
+            keep_[order[np.concatenate([[True], x[order][1:, end] != x[order][:-1, end]])]] = True
+        x = x[keep_]
+    return x
+
+
 def _near_pairs(limit: Limit, all_pairs: bool):
     """Of the lists in a group of columns: pairs of different components that sizes and bitmaps allow; for each set the nearest one, or all."""
 
@@ -317,7 +418,7 @@ def _near_pairs(limit: Limit, all_pairs: bool):
         n = n.astype(np.int64)
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         bounds = np.append(np.flatnonzero(new), len(h)).tolist()
-        found: dict[tuple[int, int], int] = {}
+        found, waiting = [np.zeros((0, 3), np.int64)], 0
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
             if j - i < 2 or (root[i:j] == root[i]).all():
                 continue
@@ -332,19 +433,21 @@ def _near_pairs(limit: Limit, all_pairs: bool):
                     continue
                 apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1)
                 close = apart <= limit.most_apart(n[k], n[at])
-                for other, d in zip(node[at[close]].tolist(), apart[close].tolist(), strict=True):
-                    a = int(node[k])
-                    found[(min(a, other), max(a, other))] = d
+                other, d = node[at[close]], apart[close]
+                if len(other):
+                    found.append(np.stack([np.minimum(node[k], other), np.maximum(node[k], other), d.astype(np.int64)], axis=1))
+                    waiting += len(other)
+                    if waiting > PAIRS_AT_ONCE:
+                        found, waiting = [_each_pair(found, all_pairs)], 0
+        pairs = _each_pair(found, all_pairs)
         if not all_pairs:
-            best: dict[int, tuple[int, int, int]] = {}
-            for (a, b), d in found.items():
-                for x in (a, b):
-                    best[x] = min(best.get(x, (1 << 60, 0, 0)), (d, a, b))
-            rows = [(x, d, a, b) for x, (d, a, b) in best.items()]
+            # for each end the nearest, the least of equally near ones
+            x = np.concatenate([np.column_stack([pairs[:, k], pairs[:, 2], pairs[:, :2]]) for k in (0, 1)])
+            x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+            x = x[np.concatenate([np.ones(min(len(x), 1), bool), x[1:, 0] != x[:-1, 0]])]
         else:
-            rows = [(a, d, a, b) for (a, b), d in found.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("node", "d", "a", "b"), cols, strict=True)})
+            x = np.column_stack([pairs[:, 0], pairs[:, 2], pairs[:, :2]])
+        return pa.table({c: pa.array(x[:, k], pa.int64()) for k, c in enumerate(("node", "d", "a", "b"))})
 
     return run
 
@@ -381,15 +484,15 @@ def most_shared(columns: DataFrame, limit: Limit) -> DataFrame:
     return votes.groupBy("node").agg(F.max(F.struct("votes", "b")).alias("x")).select(F.col("node").alias("a"), F.col("x.b").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links, its own included."""
+def _joined(docs: DataFrame, percent: int, n: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row ``doc_id``, ``key`` (of its text), ``n_shingles``, ``root`` (a number of its component, null without n-grams) and ``component_id``."""
     spark, limit = docs.sparkSession, Limit(percent)
     rows_per_batch(spark)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     blocks = max(32, -(-size // BLOCK_BYTES))
-    known = keep(facts(docs, blocks, n, limit, id_col, text_col), "facts")
-    keys = keep(known.where("candidate").select("key").distinct(), "keys")
-    sets = by_node(candidate_sets(docs, keys, n, text_col), blocks)
+    written = written_sets(docs, blocks, n, id_col, text_col)
+    marks = keep(candidate_bitmaps(written.where("n > 0"), blocks, limit), "marks")
+    sets = by_node(candidate_sets(written, marks), blocks)
     columns = keep(rare_columns(sets, blocks, limit), "columns")
     first = keep(near_enough(most_shared(columns, limit), keep(sets.select("node", "n", "bits"), "bits"), limit), "first_pairs")
     links = keep(verified(first, sets, limit), "links")
@@ -406,16 +509,48 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: s
             break
         last = found.isEmpty()
     roots = components(links)
+    known = written.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "node")
     ids = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = keep(ids.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "ids")
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    known_ids = keep(ids.select("node", "root").join(keep(named, "named"), "root").select("node", "component_id"), "known_ids")
+    known_ids = keep(ids.select("node", "root").join(keep(named, "named"), "root").select("node", "root", "component_id"), "known_ids")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return known.join(known_ids, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    root = F.when(F.col("n_shingles") > 0, F.col("root"))
+    return known.join(known_ids, "node", "left").select("doc_id", "key", "n_shingles", root.alias("root"), own.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links, its own included."""
+    return _joined(docs, percent, n, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that give their component its id, with all their columns."""
-    found = jaccard_components(docs, percent, n, id_col, text_col)
-    copies = found.where("doc_id <> component_id").select(F.xxhash64("doc_id").alias("key"))
-    return without(docs, F.xxhash64(F.col(id_col).cast("long")), copies)
+    """One row of each component, with all its columns: that of the least id (null after all others), then of the least text hash.
+
+    Of repeated rows with that id and text one is kept, by a hash of all columns.  Rows without n-grams all stay.
+    """
+    found = keep(_joined(docs, percent, n, id_col, text_col).where("root IS NOT NULL").select("root", "doc_id", "key"), "joined")
+    same = found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "rows")
+    first = keep(same.groupBy("root").agg(F.min(order).alias("x"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "x"), "first")
+    row = F.xxhash64("doc_id", "key")
+    others = ~(F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("key").eqNullSafe(F.col("x.key")))
+    copies = found.join(first, "root").where(others).select(row.alias("key"))
+    own = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    left = without(docs, own, copies)
+    repeated = first.where("x.rows > 1").select(F.xxhash64("x.doc_id", "x.key").alias("key"))
+    return _once(left, own, keep(repeated, "repeated"))
+
+
+def _once(table: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``table`` with one row for each of ``keys(key)``; the others stay where they are."""
+    if keys.isEmpty():
+        return table
+    columns = [F.col(c) for c in table.columns]
+    hashed = [F.col(f.name) for f in table.schema if "map<" not in f.dataType.simpleString()]
+    same, maybe = split_by(table.withColumn("octavo_key", key), "octavo_key", keys)
+    maybe = keep(maybe, "maybe_repeated")
+    wanted = keys.withColumnRenamed("key", "octavo_key")
+    one = maybe.join(wanted, "octavo_key", "left_semi").groupBy("octavo_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("octavo_row")).select("octavo_row.*")
+    out = maybe.join(wanted, "octavo_key", "left_anti").select(*table.columns).unionByName(one)
+    return out if same is None else same.select(*table.columns).unionByName(out)

@@ -252,14 +252,37 @@ def test_jaccard_long_columns(spark, near, monkeypatch):
     assert got == brute_components(near)
 
 
+def test_jaccard_small_gathers(spark, near, monkeypatch):
+    """Gathers of a few sets, so that n-grams repeat within and between them; the same with a gather of all."""
+    monkeypatch.setattr(jaccard_join, "GATHER", 300)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(frame(spark, near).repartition(2)).collect()}
+    assert got == brute_components(near)
+
+
+def test_a_repeated_ngram_is_sent_once():
+    """A line that every document has comes to its block once per gather, not once per document."""
+    g = jaccard_join._Gather(4, False)
+    common = jaccard_join.ngram_set("a line that very many documents have")
+    for k in range(500):
+        g.add(k, np.unique(np.concatenate([common, jaccard_join.ngram_set(f"own {k}")])), k)
+    rows = g.rows(7).to_pylist()
+    assert sum(len(x["hashes"]) // 4 for x in rows if x["hashes"]) == 500 + len(common)
+
+
 def test_keep_one(spark):
     rows = [(3, "x y z", "s"), (1, "x y z", "s"), (2, "other words here", "s"), (4, None, "s"), (5, "", "s"), (None, "x y z", "s")]
     docs = frame(spark, rows)
     left = jaccard_join.keep_one(docs)
-    assert left.columns == docs.columns and sorted(x["doc_id"] or -1 for x in left.collect()) == [-1, 1, 2, 4, 5]
+    assert left.columns == docs.columns and sorted(x["doc_id"] or -1 for x in left.collect()) == [1, 2, 4, 5]
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(2, "t u v", "s"), (5, "t u v", "s"), (5, "quite other words", "s"), (2, "t u v", "z"), (2, "t u v", "s"), (None, "lonely text", "s"), (None, "lonely text", "s"), (7, None, "s"), (7, None, "s")]
+    left = jaccard_join.keep_one(frame(spark, rows)).collect()
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in left) == [(0, "lonely text"), (2, "t u v"), (5, "quite other words"), (7, ""), (7, "")]
+
+
 @pytest.mark.parametrize("one_task", [0, 10**6])
 def test_components(spark, one_task):
     r = random.Random(7)
