@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from ..functions.views import get_bit
 from .components import components
 from .key_sets import split_by, without
-from .shared import bucketed, keep, rows_per_batch, split_words, texts
+from .shared import bucketed, drop, keep, rows_per_batch, split_words, texts
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text per column block, n-grams and documents of a gather.
-BLOCK_BYTES, GATHER, GATHER_DOCS = 24 << 20, 2 << 20, 60_000
+BLOCK_BYTES, GATHER, GATHER_DOCS = 24 << 20, 1 << 20, 60_000
 #: Words whose hashes a Python worker remembers, and the longest of them.
-MEMORY_WORDS, MEMORY_CHARS = 300_000, 64
+MEMORY_WORDS, MEMORY_CHARS = 150_000, 64
 BITMAP_BITS, SEGMENT, NEAREST_ROUNDS, PAIRS_AT_ONCE = 1024, 2048, 3, 2 << 20
 
 
@@ -140,15 +140,17 @@ class _Gather:
     def rows(self, gather: int) -> pa.RecordBatch:
         h = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
         place = np.repeat(np.array(self.places, np.uint16), [len(s) for s in self.sets])
+        meta = np.array(self.meta, np.int64).tobytes()
+        self._clear()
         order = np.argsort(h)
         h, place = h[order], place[order]
+        del order
         new = np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(h)))
         one = np.where(count > 1, SEVERAL, place[first]).astype(np.uint16)
         each, block = h[first], _block_of(h[first], self.blocks)
         repeated = np.repeat(count > 1, count)
-        meta = np.array(self.meta, np.int64).tobytes()
         if self.exact:
             # what the gather has to know again when the counts of its repeated n-grams come back
             own = np.concatenate([place[repeated].view(np.uint8), h[repeated].view(np.uint8)]).tobytes()
@@ -161,7 +163,6 @@ class _Gather:
             counts = count[i:j].astype("<u4").tobytes() if self.exact else None
             rows.append((int(block[i]), gather, each[i:j].astype(kind).tobytes(), one[i:j].tobytes(), counts, None))
         rows.append((gather % self.blocks, gather, None, meta, None, own))
-        self._clear()
         return pa.RecordBatch.from_pydict(_table(rows, _GATHERED))
 
 
@@ -253,6 +254,7 @@ def written_sets(docs: DataFrame, blocks: int, n: int, id_col: str = "doc_id", t
             cols = {"doc_id": b["doc_id"], "key": b["key"], "gather": pa.array(gathers, pa.int64()), "place": pa.array(places, pa.int32())}
             cols |= {"node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32())}
             yield pa.RecordBatch.from_pydict(cols | {"hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+        _words.clear()
 
     rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
     made = rows.mapInArrow(read, "doc_id long, key long, gather long, place int, node long, n int, hashes binary")
@@ -493,6 +495,8 @@ def _joined(docs: DataFrame, percent: int, n: int, id_col: str, text_col: str) -
     written = written_sets(docs, blocks, n, id_col, text_col)
     marks = keep(candidate_bitmaps(written.where("n > 0"), blocks, limit), "marks")
     sets = by_node(candidate_sets(written, marks), blocks)
+    known = keep(written.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "node"), "known")
+    drop(written)  # what is needed of it is in the two
     columns = keep(rare_columns(sets, blocks, limit), "columns")
     first = keep(near_enough(most_shared(columns, limit), keep(sets.select("node", "n", "bits"), "bits"), limit), "first_pairs")
     links = keep(verified(first, sets, limit), "links")
@@ -509,7 +513,6 @@ def _joined(docs: DataFrame, percent: int, n: int, id_col: str, text_col: str) -
             break
         last = found.isEmpty()
     roots = components(links)
-    known = written.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "node")
     ids = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = keep(ids.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "ids")
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -23,7 +23,7 @@ _OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _ASCII_OTHER = re.compile("[\x1c-\x1f]")
 
 _made: list[tuple[SparkSession, str]] = []
-_tables: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,13 +56,23 @@ def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Keep ``df`` as a table bucketed and sorted by ``key`` in the warehouse, which driver and executors share: joins on ``key`` leave it in place."""
     spark, name = df.sparkSession, f"octavo_{uuid.uuid4().hex}"
     df.write.bucketBy(parts, key).sortBy(key).format("parquet").option("compression", "zstd").saveAsTable(name)
-    _tables.append((spark, name))
-    return spark.table(name)
+    table = spark.table(name)
+    _tables.append((spark, name, table))
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a table that ``bucketed`` gave, once nothing reads it any more."""
+    for k, (spark, name, made) in enumerate(_tables):
+        if made is table:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            del _tables[k]
+            return
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, name in _tables:
+    for spark, name, _ in _tables:
         with contextlib.suppress(Exception):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _made:
