@@ -24,6 +24,7 @@ never a component's id unless all of the component's are null; an empty table gi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ from .shared import bucketed, drop, keep, rows_per_batch, split_words, texts
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text per column block, n-grams and documents of a gather.
-BLOCK_BYTES, GATHER, GATHER_DOCS = 24 << 20, 1 << 20, 60_000
+BLOCK_BYTES, GATHER, GATHER_DOCS = 24 << 20, 2 << 20, 60_000
 #: Words whose hashes a Python worker remembers, and the longest of them.
 MEMORY_WORDS, MEMORY_CHARS = 150_000, 64
 BITMAP_BITS, SEGMENT, NEAREST_ROUNDS, PAIRS_AT_ONCE = 1024, 2048, 3, 2 << 20
@@ -167,17 +168,22 @@ class _Gather:
 
 
 def _gathered(blocks: int, exact: bool):
-    """From rows (gather, place, node, hashes), those of a gather together."""
+    """From rows (gather, place, node, hashes), those of a gather together; or from rows (node, hashes), which are placed in gathers here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, was = _Gather(blocks, exact), None
+        g, was, part, no = _Gather(blocks, exact), None, TaskContext.get().partitionId() << 24, 0
         for b in batches:
-            for gather, place, node, hashes in zip(*(b[c].to_pylist() for c in ("gather", "place", "node", "hashes")), strict=True):
+            placed = "gather" in b.schema.names
+            at = zip(b["gather"].to_pylist(), b["place"].to_pylist(), strict=True) if placed else itertools.repeat((None, None), b.num_rows)
+            for (gather, place), node, hashes in zip(at, b["node"].to_pylist(), b["hashes"], strict=True):
+                if not placed:
+                    gather, place = part | no, len(g.sets)
                 if gather != was and g.sets:
                     yield g.rows(was)
                 was = gather
-                if g.add(place, np.frombuffer(hashes, np.uint64), node):
+                if g.add(place, np.frombuffer(hashes.as_buffer(), np.uint64), node) or (not placed and place + 1 >= GATHER_DOCS):
                     yield g.rows(was)
+                    no += 1
         if g.sets:
             yield g.rows(was)
 
@@ -226,9 +232,9 @@ def _column_counts(exact: bool):
 
 
 def _counted(sets: DataFrame, blocks: int, exact: bool) -> DataFrame:
-    """The blocks' answers; tasks are as many as the blocks ask for, whatever the session's number of shuffle partitions."""
+    """The blocks' answers about sets, placed in gathers or not; tasks are as many as the blocks ask for, whatever the session's number of shuffle partitions."""
     parts = max(blocks // 2, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = sets.select("gather", "place", "node", "hashes").mapInArrow(_gathered(blocks, exact), _GATHERED)
+    sent = sets.select(*[c for c in ("gather", "place", "node", "hashes") if c in sets.columns]).mapInArrow(_gathered(blocks, exact), _GATHERED)
     return sent.repartition(parts, "block").groupBy("block").applyInArrow(_column_counts(exact), _COUNTED).repartition(parts, "gather")
 
 
@@ -309,18 +315,6 @@ def candidate_sets(sets: DataFrame, marks: DataFrame) -> DataFrame:
 def rare_columns(sets: DataFrame, blocks: int, limit: Limit) -> DataFrame:
     """``h``, ``node``, ``n``: for each set the rarest of its shared n-grams, as many as the size bound leaves uncovered."""
 
-    def place_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, no, place, size = TaskContext.get().partitionId(), 0, 0, 0
-        for b in batches:
-            gathers, places = [], []
-            for k in b["n"].to_pylist():
-                if size >= GATHER or place >= GATHER_DOCS:
-                    no, place, size = no + 1, 0, 0
-                gathers.append(part << 24 | no)
-                places.append(place)
-                place, size = place + 1, size + k
-            yield pa.RecordBatch.from_arrays([pa.array(gathers, pa.int64()), pa.array(places, pa.int32()), b["node"], b["hashes"]], names=["gather", "place", "node", "hashes"])
-
     def choose(table: pa.Table) -> pa.Table:
         meta = _meta(table)
         node, total = np.zeros(int(meta[:, 0].max()) + 1, np.int64), np.zeros(int(meta[:, 0].max()) + 1, np.int64)
@@ -349,8 +343,7 @@ def rare_columns(sets: DataFrame, blocks: int, limit: Limit) -> DataFrame:
         take = rank < (shared - limit.least_overlap(total) + 1)[place]
         return pa.table({"h": h[take].view(np.int64), "node": node[place[take]], "n": total[place[take]].astype(np.int32)})
 
-    placed = sets.select("n", "node", "hashes").mapInArrow(place_sets, "gather long, place int, node long, hashes binary")
-    return _counted(placed, blocks, True).groupBy("gather").applyInArrow(choose, "h long, node long, n int")
+    return _counted(sets, blocks, True).groupBy("gather").applyInArrow(choose, "h long, node long, n int")
 
 
 def by_node(sets: DataFrame, parts: int) -> DataFrame:
