@@ -71,3 +71,12 @@ def pi_fraction(n: int) -> bytes:
 
     pi = 4 * (4 * arctan(5) - arctan(239)) >> guard
     return (pi - (3 << 8 * n)).to_bytes(n, "big")
+
+
+def cursor_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as bit position ``a`` is before, at or after ``b``: by byte, then by bit."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def is_zero(a: Column) -> Column:
+    return a == 0

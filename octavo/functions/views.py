@@ -5,8 +5,8 @@ Positions are 0-based.  A view is a projection; views of views collapse in the o
 
 from __future__ import annotations
 
-import functools
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,22 +95,35 @@ def nibble(x: Column, n: C) -> Column:
     return F.conv(F.substring(F.hex(x), (_long(n) + 1).cast("int"), F.lit(1)), 16, 10).cast("long")
 
 
+def _bit_units(x: pd.Series, count: pd.Series, units: pd.Series, first: pd.Series, offset: pd.Series) -> pd.Series:
+    out = []
+    for data, k, n, unit, start in zip(x, count, units, first, offset, strict=True):
+        if data is None or pd.isna(n):
+            out.append(None)
+            continue
+        k, n, start = int(k), max(int(n), 0), int(unit) * int(k) + int(start)
+        # units that lie whole in the sequence; the others are null
+        low = min(max(-(start // k), 0), n)
+        high = min(max((8 * len(data) - start) // k, low), n)
+        if high > low:
+            begin = start + low * k
+            raw = np.frombuffer(data, np.uint8, -(-(start + high * k) // 8) - begin // 8, begin // 8)
+            bits = np.unpackbits(raw)[begin % 8 :][: (high - low) * k].reshape(-1, k)
+            got = bits @ (np.int64(1) << np.arange(k - 1, -1, -1, dtype=np.int64))
+        else:
+            got = np.zeros(0, np.int64)
+        out.append(got if len(got) == n else [None] * low + got.tolist() + [None] * (n - high))
+    return pd.Series(out, dtype=object)
+
+
 def read_bit_array(x: Column, count: int, units: C, first_unit: C = 0, bit_offset: C = 0) -> Column:
-    """``units`` units of ``count`` bits, unit i at bit ``(first_unit + i) * count + bit_offset``."""
-    n = _long(units)
-    index = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
-    width = (count + 14) // 8  # bytes that hold a unit wherever it begins
-
-    def unit(values: Column, i: Column) -> Column:
-        at = (_long(first_unit) + i) * count + _long(bit_offset)
-        byte = F.call_function("shiftright", at, F.lit(3)).cast("int")
-        parts = [F.coalesce(F.get(values, byte + k), F.lit(0)).cast("long") * (1 << 8 * (width - 1 - k)) for k in range(width)]
-        number = functools.reduce(lambda a, b: a + b, parts)
-        got = F.call_function("shiftright", number, (8 * width - count - F.pmod(at, F.lit(8))).cast("int")).bitwiseAND(F.lit((1 << count) - 1))
-        return F.when((at >= 0) & (at + count <= F.size(values) * 8), got)
-
-    # the bytes are taken apart once: the outer array binds them for all units
-    return F.transform(F.array(byte_values(x)), lambda values: F.transform(index, lambda i: unit(values, i)))[0]
+    """``units`` units of ``count`` (1 to 32) bits, unit i at bit ``(first_unit + i) * count + bit_offset``; null past the ends.
+
+    Bits of a whole batch of sequences are taken apart at once: per unit, expressions cost far more.
+    """
+    if not 1 <= count <= 32:
+        raise ValueError("1 to 32 bits")
+    return F.pandas_udf(_bit_units, "array<bigint>")(x, F.lit(count), _long(units), _long(first_unit), _long(bit_offset))
 
 
 def get_bit(x: Column, n: C) -> Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,40 +126,48 @@ def pieces_after(length: int, log: list[tuple[str, int, int, int]]) -> list[tupl
 def piece_table(base: DataFrame, mods: DataFrame, data_id: str = "data_id", length: str = "length") -> DataFrame:
     """``data_id, piece_no, seq, first, size, start``: the pieces of every edited sequence, without touching a byte.
 
-    ``seq`` names the edit whose payload a piece is part of; null is the base, -2 are zeros.
+    ``seq`` names the edit whose payload a piece is part of; -1 is the base, -2 are zeros.  A sequence's log meets in one
+    row, whose pieces are found in Arrow batches.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        total = int(rows["total"].iloc[0])
-        log = [(op, int(o), int(n), int(s)) for op, o, n, s in zip(rows["op"], rows["offset"], rows["size"], rows["seq"], strict=True)]
-        got = pieces_after(total, log)
-        out = pd.DataFrame(got, columns=["seq", "first", "size"]).astype("int64")
-        out.insert(0, "data_id", key[0])
-        out.insert(1, "piece_no", range(len(out)))
-        out["start"] = out["size"].cumsum() - out["size"]
-        return out
-
-    size = F.when(F.col("op") == "del", F.col("length")).otherwise(F.octet_length("payload"))
-    log = mods.select("data_id", "seq", "op", "offset", size.cast("long").alias("size"))
-    sized = log.join(base.select(F.col(data_id).alias("data_id"), F.col(length).alias("total")), "data_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], []
+            for k, (total, log) in enumerate(zip(b["total"].to_pylist(), b["log"].to_pylist(), strict=True)):
+                got = pieces_after(total, [(m["op"], m["offset"], m["size"], m["seq"]) for m in log])
+                start = 0
+                for no, (seq, first, size) in enumerate(got):
+                    out.append((no, seq, first, size, start))
+                    start += size
+                row += [k] * len(got)
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            names = ("piece_no", "seq", "first", "size", "start")
+            yield pa.RecordBatch.from_pydict({"data_id": b["data_id"].take(pa.array(row, pa.int64()))} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+
+    size = F.when(F.col("op") == "del", F.col("length")).otherwise(F.octet_length("payload")).cast("long").alias("size")
+    entry = F.struct(F.col("seq").cast("long").alias("seq"), "op", F.col("offset").cast("long").alias("offset"), size)
+    log = mods.groupBy("data_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
+    sized = log.join(base.select(F.col(data_id).alias("data_id"), F.col(length).cast("long").alias("total")), "data_id")
     kind = base.schema[data_id].dataType.simpleString()
-    return sized.groupBy("data_id").applyInPandas(run, f"data_id {kind}, piece_no int, seq long, first long, size long, start long")
+    return sized.select("data_id", "total", "log").mapInArrow(run, f"data_id {kind}, piece_no int, seq long, first long, size long, start long")
 
 
 def materialise(base: DataFrame, mods: DataFrame, pieces: DataFrame, data_id: str = "data_id", content: str = "content") -> DataFrame:
-    """The bytes of a piece table, one gather per piece."""
+    """The bytes of a piece table: each sequence's content, payloads and pieces meet once, in one row."""
     own = base.select(F.col(data_id).alias("data_id"), F.col(content).alias("_base"))
-    paid = mods.select("data_id", "seq", "payload")
-    part = (
-        F.when(F.col("seq") == -1, byte_slice(F.col("_base"), F.col("first"), F.col("size")))
-        .when(F.col("seq") == -2, F.rpad(F.lit(b"").cast("binary"), F.col("size").cast("int"), b"\0"))
-        .otherwise(byte_slice(F.col("payload"), F.col("first"), F.col("size")))
-    )
-    parts = pieces.join(own, "data_id").join(paid, ["data_id", "seq"], "left").select("data_id", "piece_no", part.alias("bytes"))
-    whole = parts.groupBy("data_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "bytes"))).alias("p"))
-    joined = F.aggregate("p.bytes", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    return whole.select("data_id", joined.alias(content))
+    paid = mods.where("payload IS NOT NULL").groupBy("data_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("seq").cast("long"), "payload"))).alias("_paid"))
+    listed = pieces.groupBy("data_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "seq", "first", "size"))).alias("p"))
+
+    def part(p: Column) -> Column:
+        return (
+            F.when(p["seq"] == -1, byte_slice(F.col("_base"), p["first"], p["size"]))
+            .when(p["seq"] == -2, F.rpad(F.lit(b"").cast("binary"), p["size"].cast("int"), b"\0"))
+            .otherwise(byte_slice(F.try_element_at("_paid", p["seq"]), p["first"], p["size"]))
+        )
+
+    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, part(p)))
+    return listed.join(own, "data_id").join(paid, "data_id", "left").select("data_id", joined.alias(content))
 
 
 def span(pieces: DataFrame) -> DataFrame:

@@ -1,18 +1,19 @@
 """References between typed nodes: ``nodes(node, type, name, value)``, ``edges(src, dst, role)``.
 
-An edge leads from a node to one of its sources.  Chains and closures are recursive queries; a path never
-comes back to a node it holds, so circles end.
+An edge leads from a node to one of its sources.  Chains are followed by doubling: each round joins what is known of
+chains with itself, so a chain of n hops takes log n rounds.  Closures go outwards by frontiers, of which each round
+keeps only what was not reached before; neither has a limit of depth, and no path is ever enumerated.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rounds of a closure.
-DEPTH = 100
+from ..store import keep
+
+#: Rounds of a closure after which its parts are written as one.
+PARTS = 16
 
 
 def sources(edges: DataFrame, node) -> DataFrame:
@@ -35,52 +36,53 @@ def primary_source(edges: DataFrame) -> DataFrame:
     return edges.where("role = 'ref'").select(F.col("src").alias("node"), F.col("dst").alias("target"))
 
 
-def _recursive(df: DataFrame, **views: DataFrame):
-    """A session function for recursive queries over these views; rows are bounded by the graph, not by a setting."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    names = {k: f"octavo_{k}_{uuid.uuid4().hex}" for k in views}
-    for k, v in views.items():
-        v.createOrReplaceTempView(names[k])
-    return lambda sql: spark.sql(sql.format(**names))
-
-
-def dereferenced(edges: DataFrame, most: int = DEPTH) -> DataFrame:
+def dereferenced(edges: DataFrame) -> DataFrame:
     """``node``, ``final``, ``hops``: where each node's chain of references ends; null for a chain that runs in a circle."""
-    query = _recursive(edges, hop=primary_source(edges))
-    return query(f"""
-    WITH RECURSIVE c(node, cur, hops, path) AS (
-      SELECT node, target, 1, array(node) FROM {{hop}}
-      UNION ALL
-      SELECT c.node, h.target, c.hops + 1, array_append(c.path, c.cur) FROM c JOIN {{hop}} h ON h.node = c.cur
-      WHERE NOT array_contains(c.path, c.cur) AND c.hops < {most}),
-    e AS (SELECT c.node, c.cur, c.hops FROM c LEFT ANTI JOIN {{hop}} h ON h.node = c.cur)
-    SELECT s.node, e.cur AS final, e.hops FROM (SELECT DISTINCT node FROM {{hop}}) s LEFT JOIN e ON e.node = s.node""")
-
-
-def closure(edges: DataFrame, start: DataFrame, up: bool = True, most: int = DEPTH) -> DataFrame:
+    hop = keep(primary_source(edges).distinct(), "hops")
+    start = hop.select("node").distinct()
+    inner = hop.select(F.col("node").alias("target")).distinct()
+    one = hop.withColumn("hops", F.lit(1).cast("long"))
+    # chains that have ended, and chains of 2 ** k hops that go on
+    ended, going = keep(one.join(inner, "target", "left_anti").select("node", "target", "hops"), "ended"), keep(one.join(inner, "target", "left_semi").select("node", "target", "hops"), "going")
+    longest, reach = start.count(), 1
+    while reach <= longest and not going.isEmpty():
+        first = going.select("node", F.col("target").alias("at"), F.col("hops").alias("h"))
+
+        def then(rest: DataFrame) -> DataFrame:
+            rest = rest.select(F.col("node").alias("at"), "target", "hops")
+            return first.join(rest, "at").select("node", "target", (F.col("h") + F.col("hops")).alias("hops")).distinct()
+
+        ended, going = keep(ended.unionByName(then(ended)), "ended"), keep(then(going), "going")
+        reach *= 2
+    return start.join(ended, "node", "left").select("node", F.col("target").alias("final"), F.col("hops").cast("int").alias("hops"))
+
+
+def closure(edges: DataFrame, start: DataFrame, up: bool = True) -> DataFrame:
     """``origin``, ``node``, ``depth``: what is reached from ``start(node)``: its users (``up``) or its sources, at their least depth."""
     a, b = ("dst", "src") if up else ("src", "dst")
-    query = _recursive(edges, link=edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), start=start.select("node").distinct())
-    return query(f"""
-    WITH RECURSIVE d(origin, node, depth, path) AS (
-      SELECT node, node, 0, array(node) FROM {{start}}
-      UNION ALL
-      SELECT d.origin, l.b, d.depth + 1, array_append(d.path, l.b) FROM d JOIN {{link}} l ON l.a = d.node
-      WHERE NOT array_contains(d.path, l.b) AND d.depth < {most})
-    SELECT origin, node, min(depth) AS depth FROM d WHERE depth > 0 GROUP BY origin, node""")
-
-
-def dependents(edges: DataFrame, changed: DataFrame, most: int = DEPTH) -> DataFrame:
+    link = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "links")
+    origin = F.col("node").alias("origin")
+    frontier = keep(start.where("node IS NOT NULL").select(origin, "node", F.lit(0).alias("depth")).distinct(), "reached")
+    reached, parts = frontier, 1
+    while not frontier.isEmpty():
+        step = frontier.join(link, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = keep(step.join(reached.select("origin", "node"), ["origin", "node"], "left_anti"), "reached")
+        reached, parts = reached.unionByName(frontier), parts + 1
+        if parts == PARTS:
+            reached, parts = keep(reached, "reached"), 1
+    return reached.where("depth > 0")
+
+
+def dependents(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """What has to be computed again when ``changed(node)`` change."""
-    return closure(edges, changed, True, most)
+    return closure(edges, changed, True)
 
 
-def type_closure(types: DataFrame, most: int = DEPTH) -> DataFrame:
+def type_closure(types: DataFrame) -> DataFrame:
     """``type``, ``base``: every type with itself and all it derives from; ``types(type, base)``."""
     direct = types.where("base IS NOT NULL").select(F.col("type").alias("src"), F.col("base").alias("dst"))
     start = types.select(F.col("type").alias("node")).distinct()
-    up = closure(direct, start, False, most).select(F.col("origin").alias("type"), F.col("node").alias("base"))
+    up = closure(direct, start, False).select(F.col("origin").alias("type"), F.col("node").alias("base"))
     return up.unionByName(start.select(F.col("node").alias("type"), F.col("node").alias("base")))
 
 
@@ -112,3 +114,33 @@ def evaluated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def find_or_add(tree: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """The tree with the rows of ``wanted`` that it lacks."""
     return tree.unionByName(wanted.join(tree, keys, "left_anti"))
+
+
+def wrapped(objects: DataFrame, kinds: dict[str, str], default: str = "object") -> DataFrame:
+    """``objects(kind, ...)`` with the node ``type`` that their kind is wrapped in."""
+    got = F.lit(default)
+    for kind, to in kinds.items():
+        got = F.when(F.col("kind") == kind, to).otherwise(got)
+    return objects.withColumn("type", got)
+
+
+def sorted_set(table: DataFrame, key: str, low=None, high=None) -> DataFrame:
+    """The distinct rows with ``low <= key < high`` (either end may be open) in order: head, tail and sub sets."""
+    got = table.distinct()
+    got = got if low is None else got.where(F.col(key) >= F.lit(low))
+    got = got if high is None else got.where(F.col(key) < F.lit(high))
+    return got.orderBy(key)
+
+
+def set_ends(table: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """First and last of each set, and how many there are."""
+    return table.groupBy(*keys).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count_distinct(key).alias("size"))
+
+
+def list_edit(items, at, op: str, item=None):
+    """A list after ``insert``, ``remove`` or ``set`` at 0-based place ``at``; unchanged where there is no such place."""
+    before, after = F.slice(items, 1, at), lambda k: F.slice(items, at + k, F.greatest(F.size(items) - at, F.lit(0)))
+    if op == "insert":
+        return F.when((at >= 0) & (at <= F.size(items)), F.concat(before, F.array(item), after(1))).otherwise(items)
+    inside = (at >= 0) & (at < F.size(items))
+    return F.when(inside, F.concat(before, after(2)) if op == "remove" else F.concat(before, F.array(item), after(2))).otherwise(items)

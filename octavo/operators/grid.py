@@ -90,3 +90,9 @@ def columns_under(points: DataFrame, offsets: DataFrame, x: str = "x") -> DataFr
     table = offsets.agg(F.array_sort(F.collect_list(F.struct("start", "col"))).alias("_o"))
     below = F.filter("_o", lambda o: o["start"] <= F.col(x))
     return points.crossJoin(F.broadcast(table)).withColumn("col", F.try_element_at(below, F.lit(-1))["col"]).drop("_o")
+
+
+def unit_size(tiles: Column, bits: Column) -> Column:
+    """Width and height of a unit: the largest of its tiles' (an array of ``struct<width, height>``), nothing without bits."""
+    size = lambda side: F.when(bits > 0, F.array_max(F.transform(tiles, lambda t: t[side]))).otherwise(0).alias(side)
+    return F.struct(size("width"), size("height"))

@@ -172,3 +172,46 @@ def expression_intervals(definitions: DataFrame, values: DataFrame, keys: list[s
     first = values.select(*keys, F.col("name").alias("first_name"), F.col("value").alias("first"))
     last = values.select(*keys, F.col("name").alias("last_name"), F.col("value").alias("last"))
     return definitions.join(first, [*keys, "first_name"]).join(last, [*keys, "last_name"]).select(*keys, "first", "last")
+
+
+def as_closed(bits: DataFrame, keys: list[str]) -> DataFrame:
+    """Half-open bit intervals ``(bit_from, bit_to)`` as closed ones, in which every operator here works; empty ones go."""
+    return bits.where("bit_from < bit_to").select(*keys, F.col("bit_from").alias("first"), (F.col("bit_to") - 1).alias("last"))
+
+
+def as_half_open(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Closed intervals as half-open bit intervals."""
+    return table.select(*keys, F.col("first").alias("bit_from"), (F.col("last") + 1).alias("bit_to"))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """The empty selection, with the table's columns."""
+    return table.where(F.lit(False))
+
+
+def is_empty(keys_table: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """For every key whether its selection is empty."""
+    some = table.select(*keys).distinct().withColumn("some", F.lit(True))
+    return keys_table.select(*keys).distinct().join(some, keys, "left").select(*keys, F.col("some").isNull().alias("empty"))
+
+
+def anchor_and_lead(gestures: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """Where the latest gesture ``(anchor, lead)`` began and where it is, and the interval between."""
+    last = gestures.groupBy(*keys).agg(F.max_by(F.struct("anchor", "lead"), seq).alias("s")).select(*keys, "s.anchor", "s.lead")
+    return last.withColumn("first", F.least("anchor", "lead")).withColumn("last", F.greatest("anchor", "lead"))
+
+
+def swapped(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """What a change of a selection's model has to redraw: the hull of both selections of each key."""
+    return coalesced_changes(old.select(*keys, "first", "last").unionByName(new.select(*keys, "first", "last")), keys).drop("changes")
+
+
+def single(first: Column, last: Column) -> Column:
+    """The selection of one interval: its segments, from ends in either order."""
+    return F.array(F.struct(F.least(first, last).alias("first"), F.greatest(first, last).alias("last")))
+
+
+def address_interval(start: Column, length: Column) -> Column:
+    """The interval that an address's start and length, given as text or numbers, name; null if they name none."""
+    a, n = start.try_cast("long"), length.try_cast("long")
+    return F.when((a >= 0) & (n > 0), F.struct(a.alias("first"), (a + n - 1).alias("last")))

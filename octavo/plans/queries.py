@@ -267,9 +267,11 @@ for _s in _SIGNS:
         _register_integers(_s, _o)
 
 
-@query()
+@query("""SELECT l_orderkey, l_linenumber, ((hi - CASE WHEN hi >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END) * 18446744073709551616 + lo)::VARCHAR AS value, m again, upper(m) was
+FROM (SELECT *, ('0x' || substr(r, 1, 16))::UBIGINT::HUGEINT hi, ('0x' || substr(r, 17, 16))::UBIGINT::HUGEINT lo FROM (
+SELECT l_orderkey, l_linenumber, m, array_to_string(list_reverse(regexp_extract_all(m, '..')), '') r FROM (SELECT l_orderkey, l_linenumber, md5(l_orderkey || '-' || l_linenumber) m FROM lineitem)))""")
 def wide_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16-byte integers there and back: no SQL type holds them."""
+    """16-byte integers there and back."""
     x = F.unhex(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber")))
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
     d = d.withColumn("value", codec.decode_int(X("x"), 16, codec.TWOS, codec.LITTLE))
@@ -668,9 +670,98 @@ def registry_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).join(types, "type").groupBy("base").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT src, dst FROM ({_EDGES}) WHERE dst IN (SELECT dst FROM ({_EDGES}) GROUP BY 1 HAVING count(*) = 1)")
+@query("""SELECT p_partkey src, p_type || '/' || p_size dst FROM part WHERE p_type || '/' || p_size IN (SELECT p_type || '/' || p_size FROM part GROUP BY 1 HAVING count(*) = 1)""")
 def owned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.owned(references(spark, sf_dir)).select("src", "dst")
+    """Kinds of parts that one part alone refers to."""
+    edges = table(spark, sf_dir, "part").select(X("p_partkey").alias("src"), F.concat_ws("/", "p_type", "p_size").alias("dst"), F.lit("ref").alias("role"))
+    return graph.owned(edges).select("src", "dst")
+
+
+@query("""SELECT 's' || s_suppkey node, 'r' || n_regionkey final, 2 hops FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def supplier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of references of suppliers, to their ends."""
+    return graph.dereferenced(references(spark, sf_dir)).where("node LIKE 's%'")
+
+
+@query("""SELECT user_id, max_by(event_id % 50, event_id) anchor, max_by(event_id * 7 % 50, event_id) AS lead, least(max_by(event_id % 50, event_id), max_by(event_id * 7 % 50, event_id)) first,
+greatest(max_by(event_id % 50, event_id), max_by(event_id * 7 % 50, event_id)) AS last FROM events GROUP BY 1""")
+def anchor_and_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", X("event_id").alias("seq"), (X("event_id") % 50).alias("anchor"), (X("event_id") * 7 % 50).alias("lead"))
+    return intervals.anchor_and_lead(e, ["user_id"])
+
+
+@query("""SELECT event_id, CASE WHEN ok THEN a END first, CASE WHEN ok THEN a + n - 1 END AS last, sign(event_id * 13 % 97 - event_id * 7 % 89)::INT compared
+FROM (SELECT *, a >= 0 AND n > 0 ok FROM (SELECT event_id, event_id % 40 - 3 a, event_id % 5 n FROM events))""")
+def address_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses edited as text, and cursors compared."""
+    got = intervals.address_interval((X("event_id") % 40 - 3).cast("string"), (X("event_id") % 5).cast("string"))
+    compared = arithmetic.cursor_compare(X("event_id") * 13 % 97, X("event_id") * 7 % 89)
+    return table(spark, sf_dir, "events").select("event_id", got["first"].alias("first"), got["last"].alias("last"), compared.alias("compared"))
+
+
+@query("""SELECT p_brand, min(p_partkey) first_key, max(p_partkey) last_key, count(DISTINCT p_partkey) size FROM part WHERE p_partkey >= 10 AND p_partkey < 900 GROUP BY 1""")
+def sorted_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = graph.sorted_set(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_partkey", 10, 900)
+    return graph.set_ends(parts, ["p_brand"], "p_partkey")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'file' WHEN p_partkey % 3 = 1 THEN 'bytes' ELSE 'object' END AS type,
+array_to_string(list_concat([p_size, 1, 2][1:p_size % 4], [9], [p_size, 1, 2][p_size % 4 + 1:3]), ',') inserted,
+array_to_string(CASE WHEN p_size % 4 < 3 THEN list_concat([p_size, 1, 2][1:p_size % 4], [p_size, 1, 2][p_size % 4 + 2:3]) ELSE [p_size, 1, 2] END, ',') removed FROM part""")
+def wrapped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects wrapped by kind, and edits of lists."""
+    kind = F.when(X("p_partkey") % 3 == 0, "open file").when(X("p_partkey") % 3 == 1, "data").otherwise("other").alias("kind")
+    parts = graph.wrapped(table(spark, sf_dir, "part").select("p_partkey", "p_size", kind), {"open file": "file", "data": "bytes"})
+    items, at = F.array(X("p_size"), F.lit(1), F.lit(2)), X("p_size") % 4
+    shown = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    return parts.select("p_partkey", "type", shown(graph.list_edit(items, at, "insert", F.lit(9))).alias("inserted"), shown(graph.list_edit(items, at, "remove")).alias("removed"))
+
+
+def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.as_closed(bit_interval_union(spark, sf_dir), ["user_id"])
+
+
+_BIT_UNION = f"(SELECT user_id, bit_from, bit_to FROM ({ORACLES['bit_interval_union']}))"
+
+
+@query(f"""SELECT user_id, sum(bit_to - bit_from)::BIGINT bits, min(bit_from) lowest, max(bit_to) highest, count(*) segments FROM {_BIT_UNION} GROUP BY 1""")
+def bit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = intervals.as_half_open(_bits(spark, sf_dir), ["user_id"])
+    return bits.groupBy("user_id").agg(F.sum(X("bit_to") - X("bit_from")).alias("bits"), F.min("bit_from").alias("lowest"), F.max("bit_to").alias("highest"), F.count(F.lit(1)).alias("segments"))
+
+
+@query(f"""SELECT user_id, min(p) bit_from, max(p) + 1 bit_to FROM (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) g FROM (
+SELECT user_id, p FROM (SELECT user_id, p, row_number() OVER (PARTITION BY user_id ORDER BY p) k FROM (SELECT user_id, unnest(range(bit_from, bit_to)) p FROM {_BIT_UNION})) WHERE k BETWEEN 12 AND 61)) GROUP BY user_id, g""")
+def bit_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.as_half_open(intervals.slice_positions(_bits(spark, sf_dir), ["user_id"], 11, 50), ["user_id"])
+
+
+@query(f"""SELECT user_id, count(*) bits, sum(p)::BIGINT total, min(p) lowest FROM (SELECT user_id, unnest(range(bit_from, bit_to)) p FROM {_BIT_UNION}) GROUP BY 1""")
+def bit_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = intervals.enumerate_positions(_bits(spark, sf_dir), ["user_id"])
+    return every.groupBy("user_id").agg(F.count(F.lit(1)).alias("bits"), F.sum("pos").alias("total"), F.min("pos").alias("lowest"))
+
+
+@query(f"""SELECT user_id, bit_from + CASE WHEN bit_from >= 1000 THEN 100 ELSE 0 END bit_from, bit_to + CASE WHEN bit_to > 1000 THEN 100 ELSE 0 END bit_to FROM (
+SELECT user_id, bit_from, least(bit_to, CASE WHEN bit_from < 1000 THEN 1000 ELSE bit_to END) bit_to FROM {_BIT_UNION} UNION ALL SELECT user_id, 1000, bit_to FROM {_BIT_UNION} WHERE bit_from < 1000 AND bit_to > 1000)""")
+def bit_insert_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = intervals.insert_space(_bits(spark, sf_dir), ["user_id"], F.lit(1000).cast("long"), F.lit(100).cast("long"))
+    return intervals.as_half_open(made, ["user_id"])
+
+
+@query(f"""SELECT user_id, min(p) bit_from, max(p) + 1 bit_to FROM (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) g FROM (
+SELECT user_id, CASE WHEN p >= 1100 THEN p - 100 ELSE p END p FROM (SELECT user_id, unnest(range(bit_from, bit_to)) p FROM {_BIT_UNION}) WHERE p < 1000 OR p >= 1100)) GROUP BY user_id, g""")
+def bit_remove_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.as_half_open(intervals.remove_space(_bits(spark, sf_dir), ["user_id"], 1000, 100), ["user_id"])
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 37 >= 5 THEN greatest(event_id % 30 - 5, 0) END bit_from, CASE WHEN event_id % 37 >= 5 THEN event_id % 37 - 5 END bit_to,
+try_cast(event_type || event_id AS DECIMAL(38, 0))::VARCHAR parsed, try_cast(event_id * 3 || '' AS DECIMAL(38, 0))::VARCHAR number FROM events""")
+def shifted_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit intervals moved down, and integers parsed from text."""
+    got = intervals.shift_left(X("event_id") % 30, X("event_id") % 37, F.lit(5))
+    parsed = [codec.parse_int(c).cast("string").alias(n) for c, n in ((F.concat("event_type", X("event_id").cast("string")), "parsed"), ((X("event_id") * 3).cast("string"), "number"))]
+    return table(spark, sf_dir, "events").select("event_id", got["bit_from"].alias("bit_from"), got["bit_to"].alias("bit_to"), *parsed)
 
 
 @query("""SELECT user_id, CASE event_type WHEN 'click' THEN 'edited' WHEN 'view' THEN 'selection made' WHEN 'error' THEN 'closed' WHEN 'signup' THEN 'added' ELSE 'saved' END event, count(*) n FROM events GROUP BY ALL""")

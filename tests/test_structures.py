@@ -140,3 +140,16 @@ def test_live_content_and_changes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["first"], r["last"], r["changes"]) for r in spark.sql("SELECT * FROM changes_now").collect()) == [(3, 9, 2), (7, 7, 1)]
+
+
+def test_long_chains_and_layered_closures(spark):
+    from octavo.operators import graph
+
+    chain = [(f"n{k}", f"n{k + 1}", "ref") for k in range(300)] + [("x", "y", "ref"), ("y", "x", "ref"), ("z", "x", "ref")]
+    got = {r["node"]: (r["final"], r["hops"]) for r in graph.dereferenced(spark.createDataFrame(chain, "src string, dst string, role string")).collect()}
+    assert got["n0"] == ("n300", 300) and got["n299"] == ("n300", 1) and got["x"] == got["z"] == (None, None)
+    # 2 ** 20 paths through 20 layers, and a circle back
+    layers = [(f"{k}{a}", f"{k + 1}{b}", "ref") for k in range(20) for a in "ab" for b in "ab"] + [("20a", "0a", "ref")]
+    edges = spark.createDataFrame(layers, "src string, dst string, role string")
+    up = graph.closure(edges, spark.createDataFrame([("0a",)], "node string"), up=False)
+    assert {(r["node"], r["depth"]) for r in up.collect()} == {(f"{k}{a}", k) for k in range(1, 21) for a in "ab"}
