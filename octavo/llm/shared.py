@@ -1,7 +1,7 @@
 """Shared storage and small helpers of the corpus operators.
 
-Everything that has to outlive a task is written as a table into the folder named by
-``spark.checkpoint.dir``, which driver and executors share; a lost executor then costs a re-read.
+Everything that has to outlive a task is written as a table where driver and executors both find it;
+a lost executor then costs a re-read.
 """
 
 from __future__ import annotations
@@ -9,49 +9,22 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
+from ..store import fresh_dir, keep, shared_dir  # noqa: F401
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Characters besides space and \t to \r at which str.split() would split.
 _OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_OTHER = re.compile("[\x1c-\x1f]")
 
-_made: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str, DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set and all tasks run in this machine's one process, one of our own, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[(?!.*cluster)|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="octavo-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing else uses; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/octavo-{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts the lineage, computes it once."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Keep ``df`` as a table bucketed and sorted by ``key`` in the warehouse, which driver and executors share: joins on ``key`` leave it in place."""
     spark, name = df.sparkSession, f"octavo_{uuid.uuid4().hex}"
@@ -75,11 +48,6 @@ def _clean() -> None:
     for spark, name, _ in _tables:
         with contextlib.suppress(Exception):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def rows_per_batch(spark: SparkSession, rows: int = 500) -> None:
