@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..functions.views import get_bit
 from .components import components
 from .key_sets import split_by, without
-from .shared import bucketed, drop, keep, rows_per_batch, split_words, texts
+from .shared import bucketed, drop, keep, rows_per_batch, split_words, take_memory, texts
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,6 +83,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    """Steps call this, as one that named the memory itself would carry a copy of it to the workers and empty that."""
+    _words.clear()
+
+
 def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
     """The sorted distinct hashes of the text's word n-grams."""
     if not text:
@@ -171,6 +176,7 @@ def _gathered(blocks: int, exact: bool):
     """From rows (gather, place, node, hashes), those of a gather together; or from rows (node, hashes), which are placed in gathers here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("shingles", forget_words)
         g, was, part, no = _Gather(blocks, exact), None, TaskContext.get().partitionId() << 24, 0
         for b in batches:
             placed = "gather" in b.schema.names
@@ -247,6 +253,7 @@ def written_sets(docs: DataFrame, blocks: int, n: int, id_col: str = "doc_id", t
     """Per row ``doc_id``, ``key`` (of its text), ``gather``, ``place``, ``node`` (of its set), ``n`` and ``hashes``: a table bucketed by gather, so that a gather's bitmap finds its sets in place."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("shingles", forget_words)
         part, no, place, size = TaskContext.get().partitionId(), 0, 0, 0
         for b in batches:
             sets = [ngram_set(t.as_py(), n) for t in b["text"]]
@@ -260,7 +267,7 @@ def written_sets(docs: DataFrame, blocks: int, n: int, id_col: str = "doc_id", t
             cols = {"doc_id": b["doc_id"], "key": b["key"], "gather": pa.array(gathers, pa.int64()), "place": pa.array(places, pa.int32())}
             cols |= {"node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32())}
             yield pa.RecordBatch.from_pydict(cols | {"hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
-        _words.clear()
+        forget_words()
 
     rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
     made = rows.mapInArrow(read, "doc_id long, key long, gather long, place int, node long, n int, hashes binary")
@@ -361,6 +368,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("shingles", forget_words)
         for b in batches:
             hit = []
             for x, y in zip(b["ha"].to_pylist(), b["hb"].to_pylist(), strict=True):
@@ -405,6 +413,7 @@ def _near_pairs(limit: Limit, all_pairs: bool):
     """Of the lists in a group of columns: pairs of different components that sizes and bitmaps allow; for each set the nearest one, or all."""
 
     def run(table: pa.Table) -> pa.Table:
+        take_memory("shingles", forget_words)
         names = ["h", "low", "high", "segment", "node", "n", "root"]
         h, low, high, segment, node, n, root = (table[c].to_numpy() for c in names)
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(h), -1)

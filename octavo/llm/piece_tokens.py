@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import rows_per_batch, texts
+from .shared import rows_per_batch, take_memory, texts
 
 SPACE = "▁"
 _WORDS = re.compile(" +[^ ]*")
@@ -257,9 +257,13 @@ def _decode_bytewise(raw: bytes) -> str:
     return "".join(out)
 
 
-@functools.cache
+_made = functools.cache(PieceTokens)
+
+
 def piece_tokens(path: str) -> PieceTokens:
-    return PieceTokens(path)
+    """One per Python worker and file, until another operator takes the worker's memory."""
+    take_memory("pieces", _made.cache_clear)
+    return _made(path)
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:

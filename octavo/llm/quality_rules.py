@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .key_sets import split_by, without
-from .shared import keep, rows_per_batch, split_words
+from .shared import keep, rows_per_batch, split_words, take_memory
 
 #: Base rules: fewest words, window, and the share (per cent) of words in repeated windows.
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -93,6 +93,7 @@ def _key(id_col: str, text_col: str, host_col: str) -> Column:
 
 def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("lines")
         for b in batches:
             got = [text_facts(x.as_py()) for x in b["text"]]
             lines = [list(x[5]) for x in got]

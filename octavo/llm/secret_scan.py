@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_cutoff, keep, rows_per_batch, texts
+from .shared import hash_cutoff, keep, rows_per_batch, take_memory, texts
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -245,6 +245,7 @@ _met: dict[int, Field] = {}
 
 def _field(key: int, weights: np.ndarray, moves: np.ndarray, known: frozenset[str]) -> Field:
     """One per Python worker and model, so that tokens met by an earlier task are still known."""
+    take_memory("field", _met.clear)
     if key not in _met:
         _met.clear()
         _met[key] = Field(weights, moves, known)

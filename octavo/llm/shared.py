@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,7 @@ _OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _ASCII_OTHER = re.compile("[\x1c-\x1f]")
 
 _tables: list[tuple[SparkSession, str, DataFrame]] = []
+_holder: list[tuple[str, Callable[[], None]]] = []
 
 
 def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
@@ -61,6 +66,20 @@ def rows_per_batch(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def take_memory(owner: str, release: Callable[[], None] = lambda: None) -> None:
+    """Called in a Python worker, which outlives its tasks: what another operator still remembers there (words, models) is
+    released before ``owner`` fills a memory of its own, that ``release`` empties."""
+    if _holder and _holder[0][0] == owner:
+        return
+    if _holder:
+        _holder[0][1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _holder[:] = [(owner, release)]
+
+
 def hash_cutoff(hashes: DataFrame, k: int) -> int | None:
     """Of the one column's distinct 64-bit hashes the k-th least, the greatest if there are fewer, None without any.
 

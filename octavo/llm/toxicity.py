@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_cutoff, keep, rows_per_batch, texts
+from .shared import hash_cutoff, keep, rows_per_batch, take_memory, texts
 
 #: Most labelled documents used to fit (those of the least hashes of the id), words marked per category, least documents of a word.
 SAMPLE_DOCS, MARKED, WORD_DOCS = 8000, 128, 5
@@ -164,6 +164,7 @@ def score(docs: DataFrame, marked: Marked, models: list[np.ndarray], categories:
     """``doc_id``, ``p_<category>`` of each, and ``more`` columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("chain")
         for b in batches:
             x = np.array([features(t.as_py(), marked) for t in b["text"]], np.float32).reshape(b.num_rows, -1)
             p = predict(x, models) if b.num_rows else np.zeros((0, len(models)))
@@ -190,6 +191,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     columns = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("chain")
         at = columns.names.index(text_col)
         for b in batches:
             x = np.array([features(t.as_py(), marked) for t in b.column(at)], np.float32).reshape(b.num_rows, -1)

@@ -17,6 +17,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
+from .shared import take_memory  # noqa: E402
+
 #: Texts with any other character are encoded by the library as a whole.  The characters allowed are their own
 #: composed form, have a one-to-one lower case, and are classed alike by every Unicode version.
 _PLAIN = re.compile("[\t\n\r -~À-įı-ňŊ-ž]*")
@@ -88,7 +90,10 @@ class WordTokens:
         return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
 
 
-@functools.cache
+_made = functools.cache(WordTokens)
+
+
 def word_tokens(path: str) -> WordTokens:
-    """One per Python worker and file."""
-    return WordTokens(path)
+    """One per Python worker and file, until another operator takes the worker's memory."""
+    take_memory("words", _made.cache_clear)
+    return _made(path)
