@@ -32,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.views import get_bit
 from .components import components
-from .key_sets import split_by, without
+from .key_sets import matched
 from .shared import bucketed, drop, keep, rows_per_batch, split_words, take_memory, texts
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -205,22 +205,27 @@ def _column_counts(exact: bool):
 
     def run(table: pa.Table) -> pa.Table:
         out, gathers, places, hashes, counts = [], [], [], [], []
-        for gather, h, p, c, own in zip(*(table[x].to_pylist() for x in ("gather", "hashes", "places", "counts", "own")), strict=True):
-            if h is None:
-                out.append((gather, None, None, None, p, own))
+        # the block's columns are read where they lie: a copy of each would stay until its end
+        for gather, h, p, c, own in zip(table["gather"].to_pylist(), *(table[x] for x in ("hashes", "places", "counts", "own")), strict=True):
+            if not h.is_valid:
+                out.append((gather, None, None, None, p.as_py(), own.as_py()))
             else:
                 gathers.append(gather)
-                places.append(np.frombuffer(p, np.uint16))
-                hashes.append(np.frombuffer(h, kind))
-                counts.append(np.frombuffer(c, "<u4") if exact else np.ones(len(places[-1]), np.uint32))
+                places.append(np.frombuffer(p.as_buffer(), np.uint16))
+                hashes.append(np.frombuffer(h.as_buffer(), kind))
+                if exact:
+                    counts.append(np.frombuffer(c.as_buffer(), "<u4"))
         if gathers:
             every = np.concatenate(hashes)
             order = np.argsort(every)
-            new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
-            group = np.cumsum(new) - 1
-            size = np.bincount(group, weights=np.concatenate(counts)[order])
-            df = np.empty(len(every), np.uint32)
-            df[order] = size[group]
+            every = every[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            del every
+            times = np.diff(np.append(first, len(order)))
+            size = np.add.reduceat(np.concatenate(counts)[order], first) if exact else times
+            df = np.empty(len(order), np.uint32)
+            df[order] = np.repeat(size.astype(np.uint32), times)
+            del order, first, times, size
             at = 0
             for gather, p, h in zip(gathers, places, hashes, strict=True):
                 n = df[at : at + len(p)]
@@ -540,22 +545,18 @@ def keep_one(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_
     first = keep(same.groupBy("root").agg(F.min(order).alias("x"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "x"), "first")
     row = F.xxhash64("doc_id", "key")
     others = ~(F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("key").eqNullSafe(F.col("x.key")))
-    copies = found.join(first, "root").where(others).select(row.alias("key"))
+    copies = found.join(first, "root").where(others).select(row.alias("key"), F.lit(True).alias("octavo_copy"))
+    repeated = first.where("x.rows > 1").select(F.xxhash64("x.doc_id", "x.key").alias("key"), F.lit(False).alias("octavo_copy"))
+    told = keep(copies.unionByName(repeated).groupBy("key").agg(F.max("octavo_copy").alias("octavo_copy")), "told")
     own = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
-    left = without(docs, own, copies)
-    repeated = first.where("x.rows > 1").select(F.xxhash64("x.doc_id", "x.key").alias("key"))
-    return _once(left, own, keep(repeated, "repeated"))
-
-
-def _once(table: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """``table`` with one row for each of ``keys(key)``; the others stay where they are."""
-    if keys.isEmpty():
-        return table
-    columns = [F.col(c) for c in table.columns]
-    hashed = [F.col(f.name) for f in table.schema if "map<" not in f.dataType.simpleString()]
-    same, maybe = split_by(table.withColumn("octavo_key", key), "octavo_key", keys)
-    maybe = keep(maybe, "maybe_repeated")
-    wanted = keys.withColumnRenamed("key", "octavo_key")
-    one = maybe.join(wanted, "octavo_key", "left_semi").groupBy("octavo_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("octavo_row")).select("octavo_row.*")
-    out = maybe.join(wanted, "octavo_key", "left_anti").select(*table.columns).unionByName(one)
-    return out if same is None else same.select(*table.columns).unionByName(out)
+    alone, rest = matched(docs, own, told)
+    single = F.col("octavo_copy").isNull()
+    if told.where(~F.col("octavo_copy")).isEmpty():
+        out = rest.where(single).select(*docs.columns)
+    else:
+        rest = keep(rest.where(single | ~F.col("octavo_copy")), "maybe_repeated")
+        columns = [F.col(c) for c in docs.columns]
+        hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        one = rest.where(~single).groupBy("octavo_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("octavo_row")).select("octavo_row.*")
+        out = rest.where(single).select(*docs.columns).unionByName(one)
+    return out if alone is None else alone.unionByName(out)

@@ -1,4 +1,4 @@
-"""Sets of 64-bit keys as bitmaps of bounded size, and tables without the rows of a set of keys.
+"""Sets of 64-bit keys as bitmaps of bounded size, and tables joined with a set of keys.
 
 A bitmap errs on one side only: a row whose bit is not set has no such key.  Those rows are done without
 being moved; only the others, about as many as there are keys, are joined with the keys themselves.
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, rows_per_batch
+from .shared import rows_per_batch
 
 #: A bitmap has 2 ** KEY_BITS bits at most.
 KEY_BITS = 28
@@ -62,10 +62,13 @@ def split_by(table: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame | N
     return part(False), part(True)
 
 
-def without(table: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose ``key`` (never null) is not among ``keys(key)``, with all their columns."""
-    keys = keep(keys.select("key").distinct(), "keys")
-    marked = table.withColumn("octavo_key", key)
-    same, maybe = split_by(marked, "octavo_key", keys)
-    rest = maybe.join(keys.withColumnRenamed("key", "octavo_key"), "octavo_key", "left_anti").select(*table.columns)
-    return rest if same is None else same.select(*table.columns).unionByName(rest)
+def matched(table: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of ``table`` whose ``key`` (never null) can't be among ``keys``, if that can be told; and the others with
+    ``octavo_key`` and the further columns of ``keys(key, ...)``, a written table with each key once, null where it lacks the key.
+
+    A table is split once for all that is to be done with its rows: two such steps chained in a task would each have a
+    Python worker, and twice as many workers would stay for whatever runs next.
+    """
+    same, maybe = split_by(table.withColumn("octavo_key", key), "octavo_key", keys)
+    rest = maybe.join(keys.withColumnRenamed("key", "octavo_key"), "octavo_key", "left")
+    return None if same is None else same.select(*table.columns), rest

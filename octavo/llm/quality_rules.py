@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .key_sets import split_by, without
+from .key_sets import matched
 from .shared import keep, rows_per_batch, split_words, take_memory
 
 #: Base rules: fewest words, window, and the share (per cent) of words in repeated windows.
@@ -176,21 +176,19 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     read, hit = _counted(docs, id_col, text_col, host_col)
     hit = keep(hit, "hit")
     verdicts = keep(_verdicts(read, hit).select("key", "kept", "removed_words"), "verdicts")
-    key = _key(id_col, text_col, host_col)
-    good = without(docs, key, verdicts.where(~F.col("kept")))
-    changed = verdicts.where(F.col("kept") & (F.col("removed_words") > 0)).select("key").distinct()
-    lines = keep(hit.join(changed, "key", "left_semi").groupBy("key").agg(F.collect_list("line").alias("octavo_lines")), "lines")
-    # rows that have no such line stay where they are
-    same, maybe = split_by(good.withColumn("octavo_key", key), "octavo_key", lines)
-    some = maybe.join(lines.withColumnRenamed("key", "octavo_key"), "octavo_key", "left")
+    told = verdicts.where(~F.col("kept") | (F.col("removed_words") > 0)).groupBy("key").agg(F.bool_and("kept").alias("octavo_kept"))
+    told = keep(told, "told")
+    lines = hit.join(told.where("octavo_kept"), "key", "left_semi").groupBy("key").agg(F.collect_list("line").alias("octavo_lines"))
+    # rows that are kept as they are stay where they are
+    same, rest = matched(docs, _key(id_col, text_col, host_col), keep(told.join(lines, "key", "left"), "told_lines"))
     bare = F.col("octavo_lines").isNull()
     rows_per_batch(docs.sparkSession)
-    some = keep(some, "maybe_common")
+    some = keep(rest.where(F.coalesce("octavo_kept", F.lit(True))).select(*docs.columns, "octavo_lines"), "maybe_common")
     done = _cleaned(some.where(~bare), text_col)
     if size_col in docs.columns:
         done = done.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     out = some.where(bare).select(*docs.columns).unionByName(done.select(*docs.columns))
-    return out if same is None else same.select(*docs.columns).unionByName(out)
+    return out if same is None else same.unionByName(out)
 
 
 #: The same in DuckDB.
