@@ -3,9 +3,10 @@
 Words (a run of spaces and what follows up to the next space) are merged independently, because no piece
 of the vocabulary has a space mark after another character; ``PieceTokens`` checks that.  All words not met before by a
 Python worker are merged together: their symbols lie in one flat array, each round finds every word's
-pair of least rank by a segmented minimum, merges its occurrences leftmost first, and compacts the array,
-until no word has a pair left.  Words of more than ``LONG`` characters would need as many rounds as they have
-merges, each over the whole word: they are merged by a queue of pairs instead, in the same order, and not remembered.
+pair of least rank by a segmented minimum, merges its occurrences leftmost first, looks up the new pairs beside
+them in a hash table of arrays, and compacts the array, until no word has a pair left.  Words of ``LONG`` characters or more
+would need as many rounds as they have merges, each over the whole word: they are merged by a queue of pairs instead, in
+the same order, and not remembered.
 
 Defined cases of the Spark operator: null and empty texts have no ids and decode to the empty text; a
 document id may be null or repeat; an empty table gives no rows; other columns are not read.
@@ -17,7 +18,8 @@ import functools
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ from .shared import rows_per_batch, take_memory, texts
 SPACE = "▁"
 _WORDS = re.compile(" +[^ ]*")
 NONE = np.int32(2**31 - 1)
-#: Words remembered by one Python worker, the longest word merged by rounds and remembered, and characters of words merged at once.
-MEMORY_WORDS, LONG, ROUND_CHARS = 600_000, 128, 1 << 20
+#: Words that one Python worker remembers in each of two generations, and their characters and ids' bytes (a batch's new words may
+#: go beyond them); from how many characters on a word is long, and characters of words merged at once.
+MEMORY_WORDS, MEMORY_BYTES, LONG, ROUND_CHARS = 600_000, 1 << 26, 128, 1 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
@@ -56,8 +59,10 @@ class PieceTokens:
             for c in p:
                 symbols.setdefault(c, n + len(symbols))
         self.n, self.symbols = n, symbols
-        chars = sorted((ord(c), s) for c, s in symbols.items() if len(c) == 1)
-        self.char_codes, self.char_symbols = np.array(chars, np.int64).T.copy()
+        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int32)
+        for c, s in symbols.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = s
         pairs = {}
         for p, i in normal.items():
             for k in range(1, len(p)):
@@ -70,6 +75,7 @@ class PieceTokens:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = rank[[pairs[k] for k in self.keys.tolist()]]
         self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        self._fill_slots()
         # a piece that, once made, can take part in a better pair: its occurrences are merged one at a time
         self.eager = np.zeros(n + len(symbols) + 1, bool)
         for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
@@ -81,18 +87,49 @@ class PieceTokens:
         self.sizes = np.array([len(x) for x in shown], np.int64)
         self.flat = np.frombuffer(b"".join(shown), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.memory: dict[str, tuple[bytes, str]] = {}
+        # each id in decimal with a comma, filled up with zero bytes
+        self.decimals = np.array([f"{i},".encode() for i in range(n)], "S8").view("<u8")
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def _fill_slots(self) -> None:
+        """A hash table of the pairs, with linear probing; a free slot has the key -1 and no rank."""
+        bits = max(4, int(4 * len(self.keys)).bit_length())
+        self.shift, self.slots = np.uint32(32 - bits), 1 << bits
+        self.slot_keys = np.full(self.slots, -1, np.int64)
+        self.slot_ranks = np.full(self.slots, NONE, np.int32)
+        keys, ranks = self.keys, self.ranks
+        at = self._slot((keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32))
+        while len(keys):
+            free = self.slot_keys[at] == -1
+            self.slot_keys[at[free]] = keys[free]
+            placed = self.slot_keys[at] == keys
+            self.slot_ranks[at[placed]] = ranks[placed]
+            keys, ranks, at = keys[~placed], ranks[~placed], (at[~placed] + 1) % self.slots
+
+    def _slot(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.view(np.uint32) * np.uint32(0x9E3779B1) + right.view(np.uint32) * np.uint32(0x85EBCA77) >> self.shift).astype(np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        """Ranks of pairs of symbols; a symbol below 0 makes a key below 0, that no pair has."""
+        key, at = left.astype(np.int64) << 32 | right, self._slot(left, right)
+        found = self.slot_keys[at]
+        same = found == key
+        rank = np.where(same, self.slot_ranks[at], NONE)
+        todo = np.flatnonzero(~same & (found != -1))
+        while len(todo):
+            at = (at if len(at) == len(todo) else at[todo]) + 1 & self.slots - 1
+            found, key = self.slot_keys[at], key if len(key) == len(todo) else key[todo]
+            same = found == key
+            rank[todo[same]] = self.slot_ranks[at[same]]
+            more = ~same & (found != -1)
+            todo, at, key = todo[more], at[more], key[more]
+        return rank
 
     def _symbols_of(self, text: str) -> np.ndarray:
         """A symbol per character; one without a symbol is kept as a negative number, so that it can fall back to bytes."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
-        return np.where(self.char_codes[at] == codes, self.char_symbols[at], -1 - codes)
+        return self.symbol_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
     def merge_long(self, word: str) -> np.ndarray:
         """As ``merge``, of one word: the pair of least rank, then of least place, comes first from a queue."""
@@ -135,23 +172,26 @@ class PieceTokens:
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word; its spaces are already marked."""
-        sym = self._symbols_of("".join(words))
-        of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        ids, bounds = self._merge("".join(words), np.fromiter(map(len, words), np.int64, len(words)))
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _merge(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of a text that is cut into words of these sizes, and where each word's begin and the last one's end."""
+        sym = self._symbols_of(text)
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        pair = np.full(len(sym), NONE, np.int32)
+        pair[:-1] = np.where(of[:-1] == of[1:], self._rank(sym[:-1], sym[1:]), NONE)
         done_sym, done_of = [], []
         while len(sym):
-            pair = np.full(len(sym), NONE, np.int32)
-            near = np.flatnonzero((of[:-1] == of[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0))
-            pair[near] = self._rank(sym[near], sym[near + 1])
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            least = np.minimum.reduceat(pair, starts)
-            least = np.repeat(least, np.diff(np.append(starts, len(sym))))
-            if not (open_ := least != NONE).all():
-                done_sym.append(sym[~open_])
-                done_of.append(of[~open_])
-                sym, of, pair, least = sym[open_], of[open_], pair[open_], least[open_]
-                if not len(sym):
-                    break
-            hit = np.flatnonzero(pair == least)
+            least = np.repeat(np.minimum.reduceat(pair, starts), np.diff(np.append(starts, len(sym))))
+            left = least != NONE
+            if not left.all():
+                done_sym.append(sym[~left])
+                done_of.append(of[~left])
+            hit = np.flatnonzero((pair == least) & left)
+            if not len(hit):
+                break
             made = self.by_rank[least[hit]]
             first = np.concatenate([[True], of[hit][1:] != of[hit][:-1]])
             # among touching occurrences every second one is covered by its left neighbour
@@ -161,17 +201,20 @@ class PieceTokens:
             take = ~odd & (first | ~self.eager[made])
             hit, made = hit[take], made[take]
             sym[hit] = made
-            left = np.ones(len(sym), bool)
             left[hit + 1] = False
-            sym, of = sym[left], of[left]
-        if not done_sym:
-            return [np.zeros(0, np.int32) for _ in words]
-        sym, of = np.concatenate(done_sym), np.concatenate(done_of)
+            at = np.cumsum(left)[hit] - 1
+            sym, of, pair = sym[left], of[left], pair[left]
+            # only pairs with a new symbol have changed
+            pair[at] = NONE
+            at = np.concatenate([at[at + 1 < len(sym)], at[at > 0] - 1])
+            at = at[of[at] == of[at + 1]]
+            pair[at] = self._rank(sym[at], sym[at + 1])
+        sym, of = np.concatenate([np.zeros(0, np.int32), *done_sym]), np.concatenate([np.zeros(0, np.int32), *done_of])
         order = np.argsort(of, kind="stable")
         sym, of = sym[order], of[order]
         if (odd := np.flatnonzero((sym < 0) | (sym >= self.n))).size:
             sym, of = self._fall_back(sym, of, odd)
-        return np.split(sym.astype(np.int32), np.searchsorted(of, np.arange(1, len(words))))
+        return sym.astype(np.int32, copy=False), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
 
     def _fall_back(self, sym: np.ndarray, of: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         names = {s: c for c, s in self.symbols.items() if s >= self.n}
@@ -190,40 +233,50 @@ class PieceTokens:
             return text[1:].split(" ")
         return [w[1:] for w in _WORDS.findall(text)]
 
-    def learn(self, words: set[str]) -> None:
-        """Remember what is not known yet, of words that aren't long; a word is keyed without its first space."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory.clear()
-        todo, size = [], 0
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of distinct words that the younger generation of the memory hasn't, as ``encode_batch`` gives them; words that
+        aren't long are remembered there.  A full one becomes the older one, so that words still in use aren't merged again.
+        A word is keyed without its first space."""
+        fresh, long, todo, size = {}, {}, [], 0
         for w in words:
-            if w not in self.memory and len(w) < LONG:
+            if len(w) >= LONG:
+                long[w] = self.merge_long((" " + w).replace(" ", SPACE)).astype("<u4").tobytes()
+            elif (ids := self.older.get(w)) is not None:
+                fresh[w] = ids
+            else:
                 todo.append(w)
                 size += len(w) + 1
                 if size >= ROUND_CHARS:
-                    self._remember(todo)
+                    fresh |= self._merged(todo)
                     todo, size = [], 0
-        if todo:
-            self._remember(todo)
-
-    def _long(self, word: str) -> tuple[bytes, str]:
-        ids = self.merge_long((" " + word).replace(" ", SPACE))
-        return ids.astype("<u4").tobytes(), ",".join(map(str, ids.tolist()))
-
-    def _remember(self, words: list[str]) -> None:
-        for w, ids in zip(words, self.merge([(" " + w).replace(" ", SPACE) for w in words]), strict=True):
-            self.memory[w] = ids.astype("<u4").tobytes(), ",".join(map(str, ids.tolist()))
+        fresh |= self._merged(todo)
+        size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        if len(self.memory) + len(fresh) > MEMORY_WORDS or self.size + size > MEMORY_BYTES:
+            self.older, self.memory, self.size = self.memory, {}, 0
+        self.memory |= fresh
+        self.size += size
+        return fresh | long if long else fresh
+
+    def _merged(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ids, bounds = self._merge((" " + " ".join(words)).replace(" ", SPACE) if words else "", sizes)
+        raw, bounds = ids.astype("<u4", copy=False).tobytes(), (4 * bounds).tolist()
+        return ((w, raw[a:b]) for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True))
 
     def encode_batch(self, batch: list[str | None]) -> list[tuple[bytes, str]]:
         """Per text: its ids as little-endian unsigned 32-bit integers, and in decimal joined by commas."""
         split = [self.split(t) if t else [] for t in batch]
-        known = self.memory
-        self.learn({w for ws in split for w in ws if w not in known})
-        if any(w not in known for ws in split for w in ws if len(w) < LONG):
-            self.learn({w for ws in split for w in ws})  # the memory was emptied
-        out = []
+        words = list(chain.from_iterable(split))
+        got = list(map(self.memory.get, words))
+        if new := {w for w, ids in zip(words, got, strict=True) if ids is None}:
+            fresh = self.learn(new)
+            got = [fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+        out, at = [], 0
         for ws in split:
-            got = [known[w] if len(w) < LONG else self._long(w) for w in ws]
-            out.append((b"".join([a for a, _ in got]), ",".join([b for _, b in got])))
+            ids = b"".join(got[at : at + len(ws)])
+            at += len(ws)
+            shown = self.decimals[np.frombuffer(ids, "<u4")].tobytes().translate(None, b"\0")
+            out.append((ids, shown[:-1].decode()))
         return out
 
     def decode_batch(self, batch: list[bytes]) -> list[str]:

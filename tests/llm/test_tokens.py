@@ -184,3 +184,37 @@ def test_memory_can_run_full(monkeypatch):
     sp, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_tokens.PieceTokens(PIECES)
     for text in ("one two three four five six", "one seven eight two", "nine ten"):
         assert np.frombuffer(mine.encode_batch([text])[0][0], "<u4").tolist() == sp.encode(text)
+
+
+def test_rounds_look_up_only_pairs_that_changed(monkeypatch):
+    sp, mine, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_tokens.PieceTokens(PIECES), random.Random(7)
+    words = ["".join(r.choice(["th", "er", "ion", "an", "st", "x"]) for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    looked, rank = [], mine._rank
+    monkeypatch.setattr(mine, "_rank", lambda a, b: looked.append(len(a)) or rank(a, b))
+    got = mine.merge([piece_tokens.SPACE + w for w in words])
+    assert [x.tolist() for x in got] == [sp.encode(w) for w in words]
+    symbols, merges = sum(len(w) + 1 for w in words), sum(len(w) + 1 - len(x) for w, x in zip(words, got))
+    assert sum(looked) <= symbols + 2 * merges
+
+
+def test_pairs_are_found_in_their_table():
+    mine = piece_tokens.PieceTokens(PIECES)
+    a, b = (mine.keys >> 32).astype(np.int32), (mine.keys & 0xFFFFFFFF).astype(np.int32)
+    assert mine._rank(a, b).tolist() == mine.ranks.tolist()
+    r, odd = np.random.default_rng(3), np.array([-1, -11, 0, 1 << 20], np.int32)
+    a, b = np.concatenate([r.choice(a, 50_000), odd, odd]), np.concatenate([r.choice(b, 50_000), odd[::-1], odd])
+    assert mine._rank(a, b).tolist() == [mine.rank_of.get((x << 32) + y if min(x, y) >= 0 else None, piece_tokens.NONE) for x, y in zip(a.tolist(), b.tolist())]
+
+
+@pytest.mark.parametrize("bound", ["MEMORY_WORDS", "MEMORY_BYTES"])
+def test_words_in_use_outlast_a_full_memory(bound, monkeypatch):
+    monkeypatch.setattr(piece_tokens, bound, 60 if bound == "MEMORY_WORDS" else 60 * 13, raising=False)
+    mine, merged = piece_tokens.PieceTokens(PIECES), []
+    symbols_of = mine._symbols_of
+    monkeypatch.setattr(mine, "_symbols_of", lambda text: merged.append(text) or symbols_of(text))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for k in range(40):
+        text = " ".join(["again", *(f"w{k}x{j}" for j in range(20))])
+        assert np.frombuffer(mine.encode_batch([text])[0][0], "<u4").tolist() == sp.encode(text)
+        assert len(mine.memory) <= 61
+    assert "".join(merged).count("again") == 1
