@@ -5,12 +5,16 @@ Positions are 0-based.  A view is a projection; views of views collapse in the o
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 C = Column | int
+#: Bytes of sequences that a Python worker takes apart at once.
+SLICE = 1 << 20
 
 
 def _long(x: C) -> Column:
@@ -95,35 +99,71 @@ def nibble(x: Column, n: C) -> Column:
     return F.conv(F.substring(F.hex(x), (_long(n) + 1).cast("int"), F.lit(1)), 16, 10).cast("long")
 
 
-def _bit_units(x: pd.Series, count: pd.Series, units: pd.Series, first: pd.Series, offset: pd.Series) -> pd.Series:
-    out = []
-    for data, k, n, unit, start in zip(x, count, units, first, offset, strict=True):
-        if data is None or pd.isna(n):
-            out.append(None)
-            continue
-        k, n, start = int(k), max(int(n), 0), int(unit) * int(k) + int(start)
-        # units that lie whole in the sequence; the others are null
-        low = min(max(-(start // k), 0), n)
-        high = min(max((8 * len(data) - start) // k, low), n)
-        if high > low:
-            begin = start + low * k
-            raw = np.frombuffer(data, np.uint8, -(-(start + high * k) // 8) - begin // 8, begin // 8)
-            bits = np.unpackbits(raw)[begin % 8 :][: (high - low) * k].reshape(-1, k)
-            got = bits @ (np.int64(1) << np.arange(k - 1, -1, -1, dtype=np.int64))
-        else:
-            got = np.zeros(0, np.int64)
-        out.append(got if len(got) == n else [None] * low + got.tolist() + [None] * (n - high))
-    return pd.Series(out, dtype=object)
+def _ends(x: pa.Array) -> np.ndarray:
+    """Where each sequence of an Arrow column starts in its buffer, and where the last one ends."""
+    kind = np.dtype(np.int64 if pa.types.is_large_binary(x.type) else np.int32)
+    return np.frombuffer(x.buffers()[1], kind, len(x) + 1, x.offset * kind.itemsize).astype(np.int64)
+
+
+def flat_bytes(x: pa.Array, behind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all sequences of an Arrow column, with so many zeros behind them, and where in them each one starts (and the last one ends)."""
+    ends, data = _ends(x), x.buffers()[2]
+    got = np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]) if data is not None else np.zeros(0, np.uint8)
+    return np.concatenate([got, np.zeros(behind, np.uint8)]) if behind else got, ends - ends[0]
+
+
+def in_slices(batches: Iterable[tuple[pa.Array, ...]], most: int = SLICE) -> Iterator[tuple[pa.Array, ...]]:
+    """Rows of Arrow batches in slices with ``most`` bytes in the first column, or one row: what a worker makes at once is bounded."""
+    for columns in batches:
+        n = len(columns[0])
+        ends, at = _ends(columns[0]) if n else None, 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield tuple(c.slice(at, end - at) for c in columns)
+            at = end
+
+
+def _whole(x: pa.Array) -> np.ndarray:
+    return x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bit_units(x: pa.Array, units: pa.Array, first: pa.Array, offset: pa.Array, k: int) -> pa.Array:
+    data, ends = flat_bytes(x, 8)
+    none = np.array([c.is_null().to_numpy(zero_copy_only=False) for c in (x, units, first, offset)]).any(0)
+    n = np.where(none, 0, np.maximum(_whole(units), 0))
+    start = _whole(first) * k + _whole(offset)
+    # units that lie whole in the sequence; the others are null
+    low = np.minimum(np.maximum(-(start // k), 0), n)
+    high = np.minimum(np.maximum((8 * np.diff(ends) - start) // k, low), n)
+    places = np.concatenate([[0], np.cumsum(n)])
+    out, missing = np.zeros(places[-1], np.int64), None
+    if (high - low < n).any():
+        missing = np.ones(places[-1], bool)
+    mask = np.uint64((1 << k) - 1)
+    for at, a, b, begin in zip(places, low, high, 8 * ends[:-1] + start + low * k, strict=False):
+        got = out[at + a : at + b]
+        # eight units later is k bytes later: every eighth unit is a strided view of 64-bit windows
+        for j in range(min(8, b - a)):
+            bit = int(begin) + j * k
+            view = np.ndarray((-(-(b - a - j) // 8),), ">u8", data, bit // 8, (k,))
+            got[j::8] = (view >> np.uint64(64 - k - bit % 8)) & mask
+        if missing is not None:
+            missing[at + a : at + b] = False
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(out, mask=missing), mask=pa.array(none))
 
 
 def read_bit_array(x: Column, count: int, units: C, first_unit: C = 0, bit_offset: C = 0) -> Column:
     """``units`` units of ``count`` (1 to 32) bits, unit i at bit ``(first_unit + i) * count + bit_offset``; null past the ends.
 
-    Bits of a whole batch of sequences are taken apart at once: per unit, expressions cost far more.
+    Bits of a slice of a batch's sequences are taken apart at once: per unit, expressions cost far more.
     """
     if not 1 <= count <= 32:
         raise ValueError("1 to 32 bits")
-    return F.pandas_udf(_bit_units, "array<bigint>")(x, F.lit(count), _long(units), _long(first_unit), _long(bit_offset))
+
+    def take_apart(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return (_bit_units(*part, count) for part in in_slices(batches))
+
+    return F.arrow_udf(take_apart, "array<bigint>")(x, _long(units), _long(first_unit), _long(bit_offset))
 
 
 def get_bit(x: Column, n: C) -> Column:

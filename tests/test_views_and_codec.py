@@ -102,6 +102,33 @@ def test_bits_against_python(spark):
     assert one(spark, b"\x01", views.get_bit(X, 0), views.get_bit(X, 7))[:] == (True, False)
 
 
+def test_bit_units_are_taken_apart_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    xs = [r.randbytes(r.choice((0, 1, 40, 3000))) for _ in range(2000)] + [None, r.randbytes(5000)]
+    units = [None if k % 97 == 5 else 8 * len(x or b"") // 11 + k % 3 - 1 for k, x in enumerate(xs)]
+    batch = (pa.array(xs, pa.binary()), pa.array(units, pa.int64()), *(pa.array([v] * len(xs), pa.int64()) for v in (-1, 14)))
+    got, peak = [], 0
+    for part in views.in_slices([batch], 4000):
+        assert len(part[0]) == 1 or len(views.flat_bytes(part[0])[0]) <= 4000
+        tracemalloc.start()
+        made = views._bit_units(*part, 11)
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        got += made.to_pylist()
+    # all units of the batch are over 8 MB
+    assert peak < 200_000
+    for x, n, v in zip(xs, units, got, strict=True):
+        if x is None or n is None:
+            assert v is None
+            continue
+        number, total = int.from_bytes(x, "big"), 8 * len(x)
+        assert v == [(number >> total - p - 11) & 2047 if p + 11 <= total else None for p in range(3, 3 + 11 * max(n, 0), 11)]
+
+
 def test_set_bit(spark):
     got = one(spark, b"\x00\xff", views.set_bit(X, 9, False), views.set_bit(X, 3, True), views.set_bit(X, 99, True))
     assert [bytes(v) for v in got] == [b"\x00\xfd", b"\x08\xff", b"\x00\xff"]
