@@ -81,7 +81,7 @@ def address(pos: Column, base: int = 16) -> Column:
 def address_with_colon(bits: Column) -> Column:
     """``hhhh:hhhh`` of the byte, ``.b`` added for a bit other than 0."""
     byte, bit = F.call_function("shiftright", bits.cast("long"), F.lit(3)), F.pmod(bits, F.lit(8))
-    digits = F.format_string("%08x", byte)
+    digits = _padded(F.lower(F.hex(byte)), 8, "0")
     text = F.concat(F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, F.lit(5), F.length(digits)))
     return F.concat(text, F.when(bit != 0, F.concat(F.lit("."), bit.cast("string"))).otherwise(""))
 
@@ -98,10 +98,22 @@ def latin_text(x: Column, mask_high_bit: bool = False) -> Column:
     return F.array_join(F.transform(byte_values(x), lambda b: F.char(b.bitwiseAND(F.lit(127)))), "")
 
 
+def dotted_text(x: Column) -> Column:
+    """One character per byte: printable ones as they are, dots for the others."""
+    return F.regexp_replace(F.decode(x, "ISO-8859-1"), "[^ -~]", ".")
+
+
 def code_page_char(b: Column) -> Column:
     return _looked_up(b, code_page_437().__getitem__)
 
 
+def code_page_text(x: Column) -> Column:
+    """The page's character for each byte, a space for 0."""
+    page = " " + code_page_437()[1:]
+    other = [k for k in range(256) if page[k] != chr(k)]
+    return F.translate(F.decode(x, "ISO-8859-1"), "".join(map(chr, other)), "".join(page[k] for k in other))
+
+
 def digit(v: Column, alphabet: str = DIGITS) -> Column:
     return F.substring(F.lit(alphabet), (v + 1).cast("int"), F.lit(1))
 

@@ -40,14 +40,20 @@ def hex_dump(table: DataFrame, content: str, columns: int = COLUMNS, *keys: str)
 
 
 def page(table: DataFrame, content: str, *keys: str) -> DataFrame:
-    """The default page: address, hex, printable text and code page 437 of 16 bytes a line."""
-    lines = rows_of(table.select(*keys, content), content)
-    values = formats.byte_values(F.col("line"))
-    text = F.array_join(F.transform(values, lambda b: F.when(formats.is_printable(b), F.char(b)).otherwise(F.lit("."))), "")
-    page437 = F.array_join(F.transform(values, lambda b: F.when(b == 0, F.lit(" ")).otherwise(formats.code_page_char(b))), "")
-    hexes = F.array_join(F.transform(values, lambda b: formats.radix(b, 16)), " ")
+    """The default page: address, hex, printable text and code page 437 of 16 bytes a line.
+
+    Everything is made from whole lines and texts; a function called per byte costs several times as much.
+    """
+    # one character per byte of the whole sequence, all of them ASCII: lines are cut from its bytes
+    shown = formats.dotted_text(F.col(content)).cast("binary")
+    lines = rows_of(table.select(*keys, content, shown.alias("_shown")), content)
+    lines = lines.withColumn("_text", F.substring("_shown", F.col("row_no") * COLUMNS + 1, F.lit(COLUMNS)))
+    # the code page shows printable bytes as they are
+    page437 = F.when(F.col("_text") == F.col("line"), F.col("_text").cast("string")).otherwise(formats.code_page_text(F.col("line")))
+    pairs = formats.hex_text(F.col("line")).cast("binary")
+    hexes = F.rtrim(F.concat_ws(" ", *[F.substring(pairs, 2 * k + 1, 2).cast("string") for k in range(COLUMNS)]))
     address = formats.address_with_colon(F.col("row_no").cast("long") * COLUMNS * 8)
-    return lines.select(*keys, "row_no", F.concat_ws(formats.SEPARATOR, address, hexes, text, page437).alias("line_text"))
+    return lines.select(*keys, "row_no", F.concat_ws(formats.SEPARATOR, address, hexes, F.col("_text").cast("string"), page437).alias("line_text"))
 
 
 def heading(col: int) -> str:

@@ -1,12 +1,13 @@
 """Templates, grids, references, sources, streams."""
 
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from octavo.functions import codec
+from octavo.functions import codec, formats
 from octavo.operators import graph, grid, templates
 from octavo.sources import binary
 from octavo.streaming import live
@@ -54,6 +55,25 @@ def test_grid(spark):
     assert grid.group_size(parts, ["g"]).first()[:] == (1, 30, 9)
 
 
+def test_page_is_made_without_a_function_per_byte(spark, capsys):
+    r = random.Random(4)
+    xs = [bytes(range(256)), b"", b"  ", b" ." * 20, bytes(33), *(r.randbytes(n) for n in (1, 15, 16, 17, 1000)), ("é\n .~\x7f" * 9).encode(), None]
+    df = spark.createDataFrame([(k, x if x is None else bytearray(x)) for k, x in enumerate(xs)], "k long, x binary")
+    got = grid.page(df, "x", "k")
+    page = " " + formats.code_page_437()[1:]
+    want = []
+    for k, x in enumerate(xs):
+        for row in range(-(-len(x or b"") // 16)):
+            line, at = x[16 * row : 16 * row + 16], f"{16 * row:08x}"
+            text = "".join(chr(b) if 32 <= b <= 126 else "." for b in line)
+            want.append((k, row, "  ".join((f"{at[:4]}:{at[4:]}", line.hex(" "), text, "".join(page[b] for b in line)))))
+    assert sorted(map(tuple, got.collect())) == want
+    got.explain()
+    assert "lambda" not in capsys.readouterr().out
+    far = spark.range(1).select(*[formats.address_with_colon(F.lit(v)) for v in (0, 8 * 0x12ABC + 3, 8 * 0x123456789)]).first()
+    assert far[:] == ("0000:0000", "0001:2abc.3", "1234:56789")
+
+
 def test_references(spark):
     edges = spark.createDataFrame([("a", "b", "ref"), ("b", "c", "ref"), ("x", "y", "ref"), ("y", "x", "ref"), ("d", "c", "part")], "src string, dst string, role string")
     got = {r["node"]: (r["final"], r["hops"]) for r in graph.dereferenced(edges).collect()}
