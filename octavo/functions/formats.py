@@ -118,7 +118,7 @@ def digit(v: Column, alphabet: str = DIGITS) -> Column:
     return F.substring(F.lit(alphabet), (v + 1).cast("int"), F.lit(1))
 
 
-def grey(b: Column) -> Column:
+def grey(b: Column | int) -> Column | int:
     return 255 - b
 
 
@@ -128,12 +128,22 @@ def tint(level: Column) -> Column:
     return F.struct(third.alias("r"), third.alias("g"), half.alias("b"))
 
 
+def tint_of(level: int) -> tuple[int, int, int]:
+    """``tint`` of a number."""
+    return level // 3 * 2, level // 3 * 2, level // 2 + 128
+
+
 def grey_pair(b: Column) -> Column:
     """Levels of the high and the low half, each digit doubled."""
     high, low = 15 - F.floor(b / 16).cast("int"), 15 - b % 16
     return F.struct((high * 17).alias("outer"), (low * 17).alias("inner"))
 
 
+def grey_pair_of(b: int) -> tuple[int, int]:
+    """``grey_pair`` of a number."""
+    return (15 - b // 16) * 17, (15 - b % 16) * 17
+
+
 def channel(line: Column, pos: Column, channels: int) -> Column:
     """The colour channel of a byte."""
     return F.pmod(line + pos, F.lit(channels)).cast("int")

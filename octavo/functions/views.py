@@ -5,7 +5,7 @@ Positions are 0-based.  A view is a projection; views of views collapse in the o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +166,26 @@ def read_bit_array(x: Column, count: int, units: C, first_unit: C = 0, bit_offse
     return F.arrow_udf(take_apart, "array<bigint>")(x, _long(units), _long(first_unit), _long(bit_offset))
 
 
+def _byte_sums(x: pa.Array, table: np.ndarray) -> pa.Array:
+    data, ends = flat_bytes(x)
+    sums = [np.bincount(data[a:b], minlength=256) @ table for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    places = np.arange(len(x) + 1, dtype=np.int32) * table.shape[1]
+    return pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sums)), mask=x.is_null())
+
+
+def byte_sums(x: Column, *of: Callable[[int], int]) -> Column:
+    """For each function of a byte's value the sum over the sequence, as an array; 0 for an empty one.
+
+    The functions give a table each; the sequence's bytes are counted by value, in Arrow batches.
+    """
+    table = np.array([[f(b) for f in of] for b in range(256)], np.int64)
+
+    def sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return (_byte_sums(part, table) for (part,) in in_slices((batch,) for batch in batches))
+
+    return F.arrow_udf(sums, "array<bigint>")(x)
+
+
 def get_bit(x: Column, n: C) -> Column:
     """Bit ``n`` of the sequence, least significant first within each byte."""
     at = _long(n)

@@ -110,8 +110,7 @@ def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, list_sum(list_transform(regexp_extract_all(h, '.'), lambda c: ('0x' || c)::INT))::BIGINT total, length(h)::BIGINT nibbles, ('0x' || substr(h, 4, 1))::BIGINT fourth FROM ({_HEX})")
 def nibble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(formats.byte_values(X("x")), lambda b: F.floor(b / 16).cast("long") + b % 16)
-    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+    total = views.byte_sums(X("x"), lambda b: b // 16 + b % 16)[0]
     return documents(spark, sf_dir).select("doc_id", total.alias("total"), (views.byte_length(X("x")) * 2).alias("nibbles"), views.nibble(X("x"), 3).alias("fourth"))
 
 
@@ -169,18 +168,14 @@ def cp437_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT doc_id, list_sum(list_transform(b, lambda v: 255 - v))::BIGINT grey,
 list_sum(list_transform(b, lambda v: (255 - v) // 3 * 2))::BIGINT red, list_sum(list_transform(b, lambda v: (255 - v) // 2 + 128))::BIGINT blue FROM ({_BYTES})""")
 def grey_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    greys = F.transform(formats.byte_values(X("x")), lambda b: formats.tint(formats.grey(b)))
-    plain = F.transform(formats.byte_values(X("x")), formats.grey)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
-    d = documents(spark, sf_dir).select("doc_id", plain.alias("p"), greys.alias("t"))
-    return d.select("doc_id", total(X("p")).alias("grey"), total(X("t.r")).alias("red"), total(X("t.b")).alias("blue"))
+    sums = views.byte_sums(X("x"), formats.grey, lambda b: formats.tint_of(formats.grey(b))[0], lambda b: formats.tint_of(formats.grey(b))[2])
+    return documents(spark, sf_dir).select("doc_id", sums.alias("s")).select("doc_id", *[X("s")[k].alias(name) for k, name in enumerate(("grey", "red", "blue"))])
 
 
 @query(f"SELECT doc_id, list_sum(list_transform(b, lambda v: (15 - v // 16) * 17))::BIGINT outer_sum, list_sum(list_transform(b, lambda v: (15 - v % 16) * 17))::BIGINT inner_sum FROM ({_BYTES})")
 def grey_nibbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.transform(formats.byte_values(X("x")), formats.grey_pair)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
-    return documents(spark, sf_dir).select("doc_id", pairs.alias("p")).select("doc_id", total(X("p.outer")).alias("outer_sum"), total(X("p.inner")).alias("inner_sum"))
+    sums = views.byte_sums(X("x"), lambda b: formats.grey_pair_of(b)[0], lambda b: formats.grey_pair_of(b)[1])
+    return documents(spark, sf_dir).select("doc_id", sums.alias("s")).select("doc_id", X("s")[0].alias("outer_sum"), X("s")[1].alias("inner_sum"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(b) v, generate_subscripts(b, 1) i FROM ({_BYTES})),

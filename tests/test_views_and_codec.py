@@ -129,6 +129,29 @@ def test_bit_units_are_taken_apart_in_slices():
         assert v == [(number >> total - p - 11) & 2047 if p + 11 <= total else None for p in range(3, 3 + 11 * max(n, 0), 11)]
 
 
+def test_sums_of_bytes_without_a_function_per_byte(spark, tmp_path, capsys):
+    from octavo.plans.queries import QUERIES
+
+    r = random.Random(12)
+    texts = ["a", "", "~\x7f \n", "é☺\0" * 700, None, *("".join(map(chr, r.choices(range(1, 2000), k=n))) for n in (1, 5, 3000))]
+    xs = [None if t is None else t.encode() for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    every = {n: QUERIES[n](spark, str(tmp_path)) for n in ("grey_levels", "grey_nibbles", "nibble_stream")}
+    got = {n: {row["doc_id"]: row[1:] for row in df.collect()} for n, df in every.items()}
+    for k, x in enumerate(xs):
+        levels = None if x is None else [255 - b for b in x]
+        total = lambda f: None if levels is None else sum(map(f, levels))
+        assert got["grey_levels"][k] == (total(int), total(lambda v: v // 3 * 2), total(lambda v: v // 2 + 128))
+        assert got["grey_nibbles"][k] == (total(lambda v: v // 16 * 17), total(lambda v: v % 16 * 17))
+        assert got["nibble_stream"][k][:2] == (total(lambda v: (255 - v) // 16 + (255 - v) % 16), x if x is None else 2 * len(x))
+    # the functions of columns and of numbers say the same
+    both = spark.range(256).select("id", formats.tint(formats.grey(F.col("id"))).alias("t"), formats.grey_pair(F.col("id").cast("int")).alias("p")).collect()
+    assert all(tuple(b["t"]) == formats.tint_of(formats.grey(b["id"])) and tuple(b["p"]) == formats.grey_pair_of(b["id"]) for b in both)
+    for df in every.values():
+        df.explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
 def test_set_bit(spark):
     got = one(spark, b"\x00\xff", views.set_bit(X, 9, False), views.set_bit(X, 3, True), views.set_bit(X, 99, True))
     assert [bytes(v) for v in got] == [b"\x00\xfd", b"\x08\xff", b"\x00\xff"]
