@@ -179,6 +179,21 @@ def test_lists(spark):
     assert got[0] == [1, 256] and got[1] == 2 and bytes(got[2]) == x[:4] + bytes([0, 0, 0, 7, 9]) and bytes(got[3]) == x and got[4] is True
 
 
+def test_lists_without_a_function_per_item(spark, capsys):
+    r = random.Random(21)
+    xs = [r.randbytes(n) for n in (0, 1, 7, 8, 40, 333)] + [bytes(48), b"\xff" * 48, b"\x80" + bytes(47), bytes(7) + b"\x80", None]
+    df = spark.createDataFrame([(k, x if x is None else bytearray(x)) for k, x in enumerate(xs)], "k long, x binary").repartition(2)
+    kinds = [(w, s, o) for w in (1, 2, 3, 4, 7, 8) for s in (codec.UNSIGNED, codec.ONES, codec.TWOS, codec.MAGNITUDE) for o in (codec.BIG, codec.LITTLE) if (w, s) != (8, codec.UNSIGNED)]
+    for (w, s, o), c in {k: codec.list_items(X, *k) for k in kinds}.items():
+        for k, got in df.select("k", c).collect():
+            x = xs[k] or b""
+            assert got == [from_bits(int.from_bytes(x[i : i + w], "big" if o == codec.BIG else "little"), 8 * w, s) for i in range(0, len(x) // w * w, w)]
+    df.select(codec.list_items(X)).explain()
+    assert "lambda" not in capsys.readouterr().out
+    eight = one(spark, b"\xff" * 9, codec.list_items(X, 8))[0]
+    assert [int(v) for v in eight] == [2**64 - 1]
+
+
 def test_every_byte_value(spark):
     got = one(spark, bytes(range(256)), formats.byte_values(X), *[F.transform(formats.byte_values(X), _each(f)) for f in (_hex, _bin, _oct, formats.grey, formats.signed, _page, _escape, _print)])
     values, hexes, bins, octs, greys, signs, page, escapes, prints = got
