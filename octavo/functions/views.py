@@ -33,12 +33,6 @@ def bit_length(x: Column) -> Column:
     return F.octet_length(x).cast("long") * 8
 
 
-def byte_values(x: Column) -> Column:
-    """The bytes of a BINARY as an array of numbers, in one linear pass."""
-    chars = F.split(F.decode(x, "ISO-8859-1"), "")
-    return F.when(F.octet_length(x) > 0, F.transform(chars, lambda c: F.ascii(c))).when(x.isNotNull(), F.array().cast("array<int>"))
-
-
 def byte_slice(x: Column, start: C, length: C, base: C = 0) -> Column:
     """``length`` bytes from address ``start`` of a sequence whose first byte is at ``base``; what lies outside is left out."""
     at = _long(start) - _long(base)
@@ -166,6 +160,20 @@ def read_bit_array(x: Column, count: int, units: C, first_unit: C = 0, bit_offse
     return F.arrow_udf(take_apart, "array<bigint>")(x, _long(units), _long(first_unit), _long(bit_offset))
 
 
+def _byte_lists(x: pa.Array) -> pa.Array:
+    data, ends = flat_bytes(x)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data.astype(np.int32)), mask=x.is_null())
+
+
+def byte_values(x: Column) -> Column:
+    """The bytes of a BINARY as an array of numbers, in Arrow batches: expressions would make a string of each byte first."""
+
+    def lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return (_byte_lists(part) for (part,) in in_slices((batch,) for batch in batches))
+
+    return F.arrow_udf(lists, "array<int>")(x)
+
+
 def _byte_sums(x: pa.Array, table: np.ndarray) -> pa.Array:
     data, ends = flat_bytes(x)
     sums = [np.bincount(data[a:b], minlength=256) @ table for a, b in zip(ends[:-1], ends[1:], strict=True)]

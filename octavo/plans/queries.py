@@ -162,7 +162,7 @@ _PAGE = formats.code_page_437().replace("\0", " ").replace("'", "''")
 
 @query(_SHOWN.format(f"substr('{_PAGE}', v + 1, 1)"))
 def cp437_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(spark, sf_dir, lambda b: F.when(b == 0, F.lit(" ")).otherwise(formats.code_page_char(b)))
+    return documents(spark, sf_dir).select("doc_id", F.md5(formats.code_page_text(X("x"))).alias("shown"), views.byte_length(X("x")).alias("bytes"))
 
 
 @query(f"""SELECT doc_id, list_sum(list_transform(b, lambda v: 255 - v))::BIGINT grey,

@@ -152,6 +152,16 @@ def test_sums_of_bytes_without_a_function_per_byte(spark, tmp_path, capsys):
     assert "lambda" not in capsys.readouterr().out
 
 
+def test_byte_values_are_not_made_from_strings(spark, capsys):
+    xs = [b"", b"\0\xff", bytes(range(256)) * 9, None, b"a"]
+    df = spark.createDataFrame([(k, x if x is None else bytearray(x)) for k, x in enumerate(xs)], "k long, x binary")
+    got = df.select("k", formats.byte_values(X).alias("v"), formats.code_page_text(X).alias("t"))
+    page = " " + formats.code_page_437()[1:]
+    assert [(r["v"], r["t"]) for r in got.orderBy("k").collect()] == [(None, None) if x is None else (list(x), "".join(page[b] for b in x)) for x in xs]
+    got.explain()
+    assert "split(" not in (plan := capsys.readouterr().out) and "lambda" not in plan
+
+
 def test_set_bit(spark):
     got = one(spark, b"\x00\xff", views.set_bit(X, 9, False), views.set_bit(X, 3, True), views.set_bit(X, 99, True))
     assert [bytes(v) for v in got] == [b"\x00\xfd", b"\x08\xff", b"\x00\xff"]
